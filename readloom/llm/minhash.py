@@ -13,10 +13,12 @@ Shape of the plan, for documents of which any group may be a third of all rows:
    two pivots; links found give components by large-star and small-star.
 4. A bucket whose members already are in one component needs nothing more.  In
    the others every member outside the bucket's largest component is compared
-   with every member of another component.  So each pair that shares a bucket is
-   either compared or already known to be connected: no pair is lost to a cap.
-5. A pair is compared on signatures first and then, if it may reach the
-   threshold, on full shingle sets by exact integer arithmetic.
+   with all members of other components, in tiles of bounded size.  So each pair
+   that shares a bucket is either compared or already known to be connected: no
+   pair is lost to a cap.
+5. A pivot's pair is compared on signatures first and then, if it may reach the
+   threshold, on full shingle sets by exact integer arithmetic; tiles compare
+   full sets at once.
 
 A pair at similarity 0.75 shares none of its 32 keys with probability
 (1 - 0.75**4)**32 = 6e-6, and less above.
@@ -39,6 +41,8 @@ from readloom.llm.components import components
 HASHES, ROWS, SHINGLE, PERCENT = 128, 4, 5, 75
 #: Share of equal minima below which a pair can't reach 0.75 (six standard deviations).
 SIGNATURE_FLOOR = 0.52
+#: Nodes of a tile in which outsiders and members of buckets are compared.
+TILE = 256
 
 _rng = np.random.default_rng(7919)
 _A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -182,26 +186,13 @@ def _links_to_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
     found = durable(components(_verified(stars, signatures, sets)))
 
     placed = durable(
-        members.select("key", "node")
+        members.select("key", "node", "low")
         .join(found, "node", "left")
-        .select("key", "node", F.coalesce("component", "node").alias("component"))
+        .select("key", "node", "low", F.coalesce("component", "node").alias("component"))
     )
     mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
     open_ = durable(placed.join(mixed.select("key"), "key", "left_semi"))
-    main = (
-        open_.groupBy("key", "component")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("key")
-        .agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    )
-    outside = open_.join(main, "key").where("component <> main").select("key", F.col("node").alias("o"), F.col("component").alias("oc"))
-    rest = (
-        outside.join(open_, "key")
-        .where("component <> oc")
-        .select(*_pairs("o", "node"))
-        .distinct()
-    )
-    late = _verified(rest, signatures, sets)
+    late = _late_links(open_, sets)
     as_is = found.select(F.col("node").alias("x"), F.col("component").alias("cx"))
     bridges = late
     for end in ("u", "v"):
@@ -218,6 +209,77 @@ def _links_to_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
     return touched.join(joined, "component", "left").select("node", F.coalesce("over", "component").alias("component"))
 
 
+def _tile_links(rows: pa.Table) -> pa.Table:
+    """Links between the outsiders and the members of one tile, by exact set sizes."""
+    inside = np.asarray(rows.column("outside").to_numpy(zero_copy_only=False)) == 0
+    node = rows.column("node").to_numpy()
+    component = rows.column("component").to_numpy()
+    shingles = rows.column("shingles").combine_chunks()
+    begin = shingles.offsets.to_numpy()
+    flat = shingles.values.to_numpy()
+    sizes = np.diff(begin)
+    m, found = np.flatnonzero(inside), []
+    if len(m):
+        every = np.concatenate([flat[begin[i] : begin[i + 1]] for i in m])
+        owner = np.repeat(np.arange(len(m)), sizes[m])
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        for o in np.flatnonzero(~inside):
+            mine = flat[begin[o] : begin[o + 1]]
+            lo, hi = np.searchsorted(every, mine, "left"), np.searchsorted(every, mine, "right")
+            n = hi - lo
+            ends = np.cumsum(n)
+            at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(lo - (ends - n), n)
+            common = np.bincount(owner[at], minlength=len(m))
+            linked = (100 * common >= PERCENT * (sizes[m] + sizes[o] - common)) & (component[m] != component[o])
+            found += [(max(node[o], x), min(node[o], x)) for x in node[m[linked]]]
+    u, v = ([x[i] for x in found] for i in (0, 1))
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _late_links(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of members outside their bucket's largest component, for buckets of several components.
+
+    Nodes are dealt to tiles of about TILE nodes that tend to share buckets.  An
+    outsider meets every tile that holds a node of one of its buckets, so all
+    pairs of a bucket are covered, while each set moves once a tile rather than
+    once a pair.  Outsiders of a tile are split as well; a task holds one tile.
+    """
+    main = (
+        open_.groupBy("key", "component")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("key")
+        .agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    )
+    outside = open_.join(main, "key").where("component <> main").select("key", F.col("node").alias("o"))
+    anchored = open_.groupBy("node").agg(F.min("low").alias("anchor"), F.min("component").alias("component"))
+    number = anchored.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("number"))
+    tiles = durable(
+        anchored.join(number, "anchor").select(
+            "node", "component", "anchor", F.pmod(F.xxhash64("node"), "number").alias("block")
+        )
+    )
+    at_key = open_.select("key", "node").join(tiles.select("node", "anchor", "block"), "node").select("key", "anchor", "block").distinct()
+    meets = outside.join(at_key, "key").select("anchor", "block", "o").distinct()
+    meets = durable(meets)
+    splits = meets.groupBy("anchor", "block").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("splits"))
+    outsiders = (
+        meets.join(splits, ["anchor", "block"])
+        .select("anchor", "block", F.pmod(F.xxhash64("o"), "splits").alias("split"), F.col("o").alias("node"), F.lit(1).alias("outside"))
+        .join(tiles.select("node", "component"), "node")
+    )
+    insiders = tiles.join(splits, ["anchor", "block"]).select(
+        "anchor",
+        "block",
+        F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"),
+        "node",
+        F.lit(0).alias("outside"),
+        "component",
+    )
+    rows = outsiders.unionByName(insiders).join(sets, "node")
+    return durable(rows.groupBy("anchor", "block", "split").applyInArrow(_tile_links, "u long, v long").distinct())
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs(doc_id, text, ...).
 
