@@ -41,11 +41,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the shared checkpoint folder."""
+#: Rows of a few narrow columns that make a fair partition of a small table.
+PART_ROWS = 50_000
+
+
+def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The rows of df, computed once and kept in the shared checkpoint folder.
+
+    rows bounds the number of rows, if that is known: a small table is then
+    written in few files rather than in one for each shuffle partition.
+    """
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_dir(spark).rpartition("/")[0])
+    if rows is not None:
+        df = df.coalesce(max(4, -(-rows // PART_ROWS)))
     return df.checkpoint(eager=True)
 
 

@@ -31,18 +31,20 @@ def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, component) for every node of links(u, v); component is the smallest node it reaches.
 
     Ids are long.  Self-links and repeated links are allowed, null ends are
-    dropped.  A node that occurs only in self-links has no row.
+    dropped.  A node that occurs only in self-links has no row.  rows bounds the
+    number of links, if that is known.
     """
     edges = durable(
-        links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+        links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), rows
     )
     state = _state(edges)
     while state[0]:
-        edges = durable(_star(_star(edges, large=True), large=False))
+        # a round never makes more links than twice those it gets
+        edges = durable(_star(_star(edges, large=True), large=False), 2 * state[0])
         last, state = state, _state(edges)
         if state == last:
             break

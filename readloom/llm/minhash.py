@@ -42,7 +42,7 @@ HASHES, ROWS, SHINGLE, PERCENT = 128, 4, 5, 75
 #: Share of equal minima below which a pair can't reach 0.75 (six standard deviations).
 SIGNATURE_FLOOR = 0.52
 #: Nodes of a tile in which outsiders and members of buckets are compared.
-TILE = 256
+TILE = 128
 
 _rng = np.random.default_rng(7919)
 _A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -144,8 +144,8 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"]).filter(pa.array(alike))
 
 
-def _verified(pairs: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets reach the threshold; a durable table."""
+def _verified(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
+    """The pairs (u, v) whose full shingle sets reach the threshold."""
     side = lambda df, end, col, to: df.select(F.col("node").alias(end), F.col(col).alias(to))
     likely = (
         pairs.join(side(signatures, "u", "signature", "sig_u"), "u")
@@ -155,9 +155,8 @@ def _verified(pairs: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataF
     )
     both = likely.join(side(sets, "u", "shingles", "set_u"), "u").join(side(sets, "v", "shingles", "set_v"), "v")
     common = F.size(F.array_intersect("set_u", "set_v"))
-    return durable(
-        both.where(100 * common >= PERCENT * (F.size("set_u") + F.size("set_v") - common)).select("u", "v").distinct()
-    )
+    linked = both.where(100 * common >= PERCENT * (F.size("set_u") + F.size("set_v") - common))
+    return durable(linked.select("u", "v").distinct(), rows)
 
 
 def _pairs(a: str, b: str) -> list:
@@ -171,11 +170,12 @@ def _links_to_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")
     )
     members = durable(band.join(shared.where("n > 1 and low < high"), "key").select("key", "node", "low", "high"))
-    nodes = durable(members.select("node").distinct())
+    rows = members.count()  # of everything from here on but the pivots' pairs, which are twice as many
+    nodes = durable(members.select("node").distinct(), rows)
     wanted = if_small(nodes)
     texts = docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     sets = durable(texts.mapInArrow(_sets, "node long, shingles array<long>"))
-    signatures = durable(signed.join(wanted, "node", "left_semi").select("node", "signature"))
+    signatures = durable(signed.join(wanted, "node", "left_semi").select("node", "signature"), rows)
 
     stars = (
         members.select(*_pairs("low", "node"))
@@ -183,22 +183,23 @@ def _links_to_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
         .where("u <> v")
         .distinct()
     )
-    found = durable(components(_verified(stars, signatures, sets)))
+    found = durable(components(_verified(stars, signatures, sets, 2 * rows), 2 * rows), rows)
 
     placed = durable(
         members.select("key", "node", "low")
         .join(found, "node", "left")
-        .select("key", "node", "low", F.coalesce("component", "node").alias("component"))
+        .select("key", "node", "low", F.coalesce("component", "node").alias("component")),
+        rows,
     )
     mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
-    open_ = durable(placed.join(mixed.select("key"), "key", "left_semi"))
-    late = _late_links(open_, sets)
+    open_ = durable(placed.join(mixed.select("key"), "key", "left_semi"), rows)
+    late = _late_links(open_, sets, rows)
     as_is = found.select(F.col("node").alias("x"), F.col("component").alias("cx"))
     bridges = late
     for end in ("u", "v"):
         bridges = bridges.join(as_is.withColumnsRenamed({"x": end, "cx": f"c{end}"}), end, "left")
     bridges = bridges.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-    joined = components(bridges).select(F.col("node").alias("component"), F.col("component").alias("over"))
+    joined = components(bridges, rows).select(F.col("node").alias("component"), F.col("component").alias("over"))
     touched = found.unionByName(
         late.select(F.col("u").alias("node"))
         .unionByName(late.select(F.col("v").alias("node")))
@@ -227,17 +228,19 @@ def _tile_links(rows: pa.Table) -> pa.Table:
         for o in np.flatnonzero(~inside):
             mine = flat[begin[o] : begin[o + 1]]
             lo, hi = np.searchsorted(every, mine, "left"), np.searchsorted(every, mine, "right")
-            n = hi - lo
-            ends = np.cumsum(n)
-            at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(lo - (ends - n), n)
-            common = np.bincount(owner[at], minlength=len(m))
+            common = np.zeros(len(m), np.int64)
+            for part in range(0, len(mine), 2048):
+                a, n = lo[part : part + 2048], (hi - lo)[part : part + 2048]
+                ends = np.cumsum(n)
+                at = np.arange(int(ends[-1])) + np.repeat(a - (ends - n), n)
+                common += np.bincount(owner[at], minlength=len(m))
             linked = (100 * common >= PERCENT * (sizes[m] + sizes[o] - common)) & (component[m] != component[o])
             found += [(max(node[o], x), min(node[o], x)) for x in node[m[linked]]]
     u, v = ([x[i] for x in found] for i in (0, 1))
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def _late_links(open_: DataFrame, sets: DataFrame) -> DataFrame:
+def _late_links(open_: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
     """Links of members outside their bucket's largest component, for buckets of several components.
 
     Nodes are dealt to tiles of about TILE nodes that tend to share buckets.  An
@@ -257,11 +260,12 @@ def _late_links(open_: DataFrame, sets: DataFrame) -> DataFrame:
     tiles = durable(
         anchored.join(number, "anchor").select(
             "node", "component", "anchor", F.pmod(F.xxhash64("node"), "number").alias("block")
-        )
+        ),
+        rows,
     )
     at_key = open_.select("key", "node").join(tiles.select("node", "anchor", "block"), "node").select("key", "anchor", "block").distinct()
     meets = outside.join(at_key, "key").select("anchor", "block", "o").distinct()
-    meets = durable(meets)
+    meets = durable(meets, rows)
     splits = meets.groupBy("anchor", "block").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("splits"))
     outsiders = (
         meets.join(splits, ["anchor", "block"])
@@ -276,8 +280,9 @@ def _late_links(open_: DataFrame, sets: DataFrame) -> DataFrame:
         F.lit(0).alias("outside"),
         "component",
     )
-    rows = outsiders.unionByName(insiders).join(sets, "node")
-    return durable(rows.groupBy("anchor", "block", "split").applyInArrow(_tile_links, "u long, v long").distinct())
+    dealt = outsiders.unionByName(insiders).join(sets, "node")
+    links = dealt.groupBy("anchor", "block", "split").applyInArrow(_tile_links, "u long, v long")
+    return durable(links.distinct(), rows)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
