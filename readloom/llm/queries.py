@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from readloom.llm import kdtree_search
 from readloom.llm._common import table
 
 
@@ -15,6 +17,12 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readloom.llm.token_counts import token_counts
 
@@ -27,6 +35,19 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.decontaminate import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.kdtree_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readloom.llm.toxicity import toxicity_scores
 
@@ -34,10 +55,15 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_counts": op2_token_counts,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_exact_top_k": op8_exact_top_k,
     "op9_toxicity": op9_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_exact_top_k": kdtree_search.SQL,
+}
