@@ -35,6 +35,18 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.langid import languages
+
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readloom.llm.decontaminate import contamination
 
@@ -68,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_license_scan": op5_license_scan,
+    "op6_language_id": op6_language_id,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_toxicity": op9_toxicity,
