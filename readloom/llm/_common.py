@@ -67,31 +67,34 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if len(df.select(F.lit(1)).take(rows + 1)) <= rows else df
 
 
-def labelled_ids(labels: DataFrame, label: str, folds: int, held_out: int, rows: int) -> list[tuple[int, int]]:
+def labelled_ids(
+    labels: DataFrame, label: str, folds: int, held_out: int, rows: int, balanced: bool = False
+) -> list[tuple[int, int]]:
     """At most rows (doc_id, label) pairs outside the held-out fold, those of the smallest id hashes.
 
-    Null ids and labels other than 0 and 1 are left out; of contradicting labels the larger counts.
+    With balanced, either label has at most half of them, so that a rare one is
+    learnt from more examples.  Null ids and labels other than 0 and 1 are left
+    out; of contradicting labels the larger counts.
     """
     key = F.col("doc_id")
-    picked = (
+    usable = (
         labels.where(key.isNotNull() & F.col(label).isin(0, 1) & (fold(key, folds) != held_out))
         .groupBy("doc_id")
         .agg(F.max(label).alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
     )
-    return [(r.doc_id, r.label) for r in picked.collect()]
+    parts = [(usable, rows)] if not balanced else [(usable.where(F.col("label") == y), rows // 2) for y in (0, 1)]
+    return [(r.doc_id, r.label) for part, n in parts for r in part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
 
 
 def labelled_texts(
-    docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, max_bytes: int
+    docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, max_bytes: int, balanced: bool = False
 ) -> Iterator[tuple[str, int]]:
     """Whole texts with labels for fitting: a sample of at most rows documents and max_bytes bytes.
 
     The id list is broadcast and has at most rows entries.  Rows stream to the
     driver; it stops at max_bytes.  A repeated doc_id counts once.
     """
-    ids = labelled_ids(labels, label, folds, held_out, rows)
+    ids = labelled_ids(labels, label, folds, held_out, rows, balanced)
     if not ids:
         return
     spark = docs.sparkSession

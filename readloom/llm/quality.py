@@ -8,7 +8,7 @@ from readloom.llm import subword
 from readloom.llm.scoring import scored
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
-SETTINGS = subword.Settings(lower=False, alnum=False, rows=2500, epochs=4)
+SETTINGS = subword.Settings(lower=False, alnum=False, rows=4000, epochs=5)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, settings: subword.Settings = SETTINGS, keep: bool = False) -> DataFrame:

@@ -16,7 +16,7 @@ from readloom.llm._common import fold, labelled_texts
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str, settings: subword.Settings, folds: int, held_out: int) -> subword.Model:
     """A model of at most settings.rows labelled documents outside the held-out fold."""
-    texts = labelled_texts(docs, labels, label, folds, held_out, settings.rows, settings.max_bytes)
+    texts = labelled_texts(docs, labels, label, folds, held_out, settings.rows, settings.max_bytes, settings.balanced)
     return subword.fit(settings, texts)
 
 

@@ -33,7 +33,8 @@ class Settings:
     """How texts become features, and how a model is fitted.
 
     window: words of a passage, scored at a stride of half of it; 0 scores the
-    whole document as one bag.  rows and max_bytes bound the labelled sample.
+    whole document as one bag.  rows and max_bytes bound the labelled sample;
+    balanced takes at most half of it from either label.
     """
 
     lower: bool
@@ -46,6 +47,7 @@ class Settings:
     rate: float = 0.5
     adaptive: bool = True
     rows: int = 3000
+    balanced: bool = False
     max_bytes: int = 24 << 20
     seed: int = 11
 
