@@ -6,12 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_KIND = "map<string,struct<type:string,value:string>>"
+
+
 def parse(fields: Column) -> Column:
     """map<tag, struct<type, value>> of an array of tag texts; the first of equal tags counts, malformed ones are skipped."""
     ok = F.filter(fields, lambda x: x.rlike(r"^[A-Za-z][A-Za-z0-9]:[AifZHBcCsSIdZ]:"))
-    made = F.transform(ok, lambda x: F.struct(F.substring(x, 1, 2).alias("tag"), F.substring(x, 4, 1).alias("type"), F.call_function("substring", x, F.lit(6)).alias("value")))
-    first = F.filter(made, lambda m, i: F.array_position(F.transform(made, lambda y: y["tag"]), m["tag"]) == i + 1)
-    return F.map_from_entries(F.transform(first, lambda m: F.struct(m["tag"], F.struct(m["type"].alias("type"), m["value"].alias("value")))))
+
+    def more(m: Column, x: Column) -> Column:
+        tag = F.substring(x, 1, 2)
+        value = F.struct(F.substring(x, 4, 1).alias("type"), F.call_function("substring", x, F.lit(6)).alias("value"))
+        return F.when(F.map_contains_key(m, tag), m).otherwise(F.map_concat(m, F.create_map(tag, value)))
+
+    return F.aggregate(ok, F.create_map().cast(_KIND), more)
 
 
 def get_int(tags: Column, tag: str) -> Column:

@@ -233,4 +233,19 @@ SQL: dict[str, str] = {
     "float_texts": """SELECT p_partkey, regexp_replace(regexp_replace(printf('%.3f', p_partkey % 1000 / 8), '0+$', ''), '\\.$', '') AS text FROM part""",
     "profile_percentiles": """SELECT l_returnflag, round(quantile_cont(l_quantity, 0.5), 6) AS p50, round(quantile_cont(l_quantity, 0.9), 6) AS p90, round(quantile_cont(l_quantity, 0.99), 6) AS p99
       FROM lineitem GROUP BY l_returnflag""",
+    "sam_round_trip": f"""WITH {QUERY} SELECT read_id, qname, flag, contig, pos, mapq, cigar, qlen AS seq_len,
+      CAST(sum((read_id * 7 + qpos * 3) % 42) AS INTEGER) AS quality FROM (SELECT *, row_number() OVER (PARTITION BY read_id, flag, qlen, qpos) AS copy FROM letters)
+      GROUP BY read_id, qname, flag, contig, pos, mapq, cigar, qlen, copy""",
+    "reference_fetch": """WITH r AS (SELECT s_suppkey, s_suppkey * 97 % 9000 AS a, s_suppkey * 97 % 9000 + s_suppkey % 900 AS z FROM supplier)
+      SELECT s_suppkey, coalesce(string_agg(substr('ACGT', CAST((p * 7 + p // 3) % 4 + 1 AS INTEGER), 1), '' ORDER BY p), '') AS seq
+      FROM r LEFT JOIN range(10000) AS t(p) ON p >= a AND p < z GROUP BY s_suppkey""",
+    "walk_soft_clips": f"""WITH {BLOCKS}, e AS (SELECT contig, op, len FROM blocks WHERE k <> 0
+        UNION ALL SELECT contig, 'S', 12 FROM reads WHERE k = 0 UNION ALL SELECT contig, 'M', qlen - 12 FROM reads WHERE k = 0)
+      SELECT contig, op, CAST(sum(CASE WHEN op = 'M' THEN len ELSE 1 END) AS BIGINT) AS n, CAST(sum(len) AS BIGINT) AS bases FROM e GROUP BY contig, op""",
+    "unmodified_calls": f"""WITH {MODS}, six AS (SELECT DISTINCT read_id, base FROM letters WHERE mapq >= 30 AND qpos = 5),
+      called AS (SELECT DISTINCT read_id FROM found WHERE qpos = 5)
+      SELECT base, CASE WHEN c.read_id IS NOT NULL THEN 'false' WHEN base = 'C' THEN 'true' ELSE 'unknown' END AS unmodified, count(*) AS n
+      FROM six LEFT JOIN called c USING (read_id) GROUP BY 1, 2""",
+    "aligned_fraction": f"WITH {READS} SELECT read_id, round(matching / qlen, 6) AS fraction FROM ends",
+    "contig_extents": f"WITH {READS} SELECT contig, min(pos) AS first, max(end_pos) AS last, count(*) AS n, count(DISTINCT qname) AS templates FROM ends GROUP BY contig",
 }

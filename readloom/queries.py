@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import cigar, scalars, tags
 from readloom.operators import calls, intervals, mods, pairs, pileup, reads
+from readloom.sources import sam, sequence
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -460,3 +461,62 @@ def float_texts(spark: SparkSession, d: str) -> DataFrame:
 def profile_percentiles(spark: SparkSession, d: str) -> DataFrame:
     q = F.percentile("l_quantity", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
     return _table(spark, d, "lineitem").groupBy("l_returnflag").agg(q.alias("q")).select("l_returnflag", *(F.round(F.get("q", F.lit(i)), 6).alias(n) for i, n in enumerate(("p50", "p90", "p99"))))
+
+
+@query
+def sam_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Reads written as alignment text and parsed again."""
+    r = _reads(spark, d, True)
+    none = F.lit(None).cast("string")
+    full = r.withColumns(
+        {
+            "next_contig": none,
+            "next_pos": F.lit(-1).cast("long"),
+            "tlen": F.lit(0),
+            "aux": tags.parse(F.array(F.concat(F.lit("XI:i:"), F.col("read_id").cast("string")), F.lit("RG:Z:one"))),
+        }
+    )
+    back = sam.records(sam.lines(full))
+    return back.select(
+        tags.get_int(F.col("aux"), "XI").alias("read_id"), "qname", "flag", "contig", "pos", "mapq", cigar.render(F.col("ops")).alias("cigar"),
+        F.length("seq").alias("seq_len"), F.aggregate("qual", F.lit(0), lambda a, q: a + q).alias("quality"),
+    )
+
+
+@query
+def reference_fetch(spark: SparkSession, d: str) -> DataFrame:
+    """Bases of half-open ranges from tiles of a sequence, one range a supplier."""
+    letters = spark.range(0, 10_000).select(F.floor(F.col("id") / 500).alias("t"), F.col("id"), reads.reference_base(F.col("id")).alias("b"))
+    tiles = letters.groupBy("t").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "b"))), lambda x: x["b"]), "").alias("seq")).select(
+        F.lit("c").alias("contig"), (F.col("t") * 500).alias("start"), "seq"
+    )
+    ranges = _table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 97 % 9000).alias("a"), (F.col("s_suppkey") * 97 % 9000 + F.col("s_suppkey") % 900).alias("z"))
+    return sequence.fetch_many(tiles, ranges.withColumn("contig", F.lit("c")), 500).select("s_suppkey", "seq")
+
+
+@query
+def walk_soft_clips(spark: SparkSession, d: str) -> DataFrame:
+    p = pairs.aligned_pairs(reads.realigned(_reads(spark, d), 12), pairs.CLIPS)
+    return p.groupBy("contig", "op").agg(F.count(F.lit(1)).alias("n"), F.sum("len").cast("long").alias("bases"))
+
+
+@query
+def unmodified_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the sixth base of each read is known to be unmodified."""
+    r = _modified(spark, d)
+    found = mods.calls(r).groupBy("read_id").agg(F.collect_set(F.struct("qpos")).alias("found"))
+    known = mods.is_unmodified(F.coalesce("found", F.array().cast("array<struct<qpos:int>>")), mods.entries(F.col("mm")), F.lit(5), F.substring("seq", 6, 1))
+    out = r.select("read_id", "seq", "mm").dropDuplicates(["read_id"]).join(found, "read_id", "left")
+    return out.groupBy(F.substring("seq", 6, 1).alias("base"), F.coalesce(known.cast("string"), F.lit("unknown")).alias("unmodified")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def aligned_fraction(spark: SparkSession, d: str) -> DataFrame:
+    x = cigar.total(F.col("ops"), ("M",)) / F.col("qlen")
+    return _reads(spark, d).select("read_id", F.round(F.coalesce(x, F.lit(0.0)), 6).alias("fraction"))
+
+
+@query
+def contig_extents(spark: SparkSession, d: str) -> DataFrame:
+    r = _reads(spark, d).withColumn("end_pos", cigar.end_position(F.col("pos"), F.col("ops")).cast("long"))
+    return r.groupBy("contig").agg(F.min("pos").alias("first"), F.max("end_pos").alias("last"), F.count(F.lit(1)).alias("n"), F.countDistinct("qname").alias("templates"))

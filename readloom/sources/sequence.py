@@ -35,6 +35,21 @@ def fetch(tiles: DataFrame, contig: str, start: int, stop: int) -> DataFrame:
     return pieces.groupBy("contig").agg(joined.alias("seq")).select("contig", F.lit(start).cast("long").alias("start"), "seq")
 
 
+def fetch_many(tiles: DataFrame, ranges: DataFrame, tile: int) -> DataFrame:
+    """ranges(contig, a, z, ...) with the bases of each half-open range, from tiles of that length; empty ranges have none.
+
+    Ranges meet the tiles they touch by an equi-join on (contig, start).
+    """
+    key = F.xxhash64(*ranges.columns)
+    touched = F.when(F.col("z") > F.col("a"), F.sequence(F.floor(F.col("a") / tile), F.floor((F.col("z") - 1) / tile))).otherwise(F.array().cast("array<long>"))
+    wanted = ranges.withColumn("key", key).withColumn("start", F.explode_outer(F.transform(touched, lambda t: t * tile)))
+    met = wanted.join(tiles, ["contig", "start"], "left")
+    low, high = F.greatest(F.col("a") - F.col("start"), F.lit(0)).cast("int"), F.least(F.col("z") - F.col("start"), F.length("seq")).cast("int")
+    piece = F.struct("start", F.coalesce(F.substring("seq", low + 1, high - low), F.lit("")).alias("s"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["s"]), "")
+    return met.groupBy("key", *ranges.columns).agg(joined.alias("seq")).drop("key")
+
+
 def positions(tiles: DataFrame) -> DataFrame:
     """(contig, pos, base): a row for each base, letters but A, C, G, T as N."""
     each = tiles.select("contig", "start", F.posexplode(F.split("seq", "")).alias("i", "b"))
