@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as t
 
 from readloom.llm import subword
 from readloom.llm._common import fold, labelled_texts
@@ -28,15 +27,14 @@ def scored(
     folds: int,
     held_out: int,
     threshold: float,
-    keep: bool = False,
+    keep: int | None = None,
 ) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of docs(doc_id, text, ...), or with keep the rows themselves.
+    """(doc_id, held_out, score, predicted) for each row of docs(doc_id, text, ...), or the rows predicted as keep.
 
     The model is fitted on the driver from a sample bounded by settings.rows and
     settings.max_bytes and has a fixed size (4 * 2**bits bytes); scoring is one
-    scan and one Arrow map without a shuffle.  With keep, the result has the
-    columns of docs and, after them, score and predicted under names that do not
-    clash (_score, _predicted).  Null and empty texts get the score of an empty
+    scan and one Arrow map without a shuffle.  With keep (0 or 1), the result is
+    the rows of docs with that prediction, in its own columns.  Null and empty texts get the score of an empty
     bag; a null doc_id is not held out and never learnt from; contradicting
     labels of an id count as 1; an empty docs gives an empty result; without
     labels every score is 0.5.
@@ -48,28 +46,16 @@ def scored(
         for batch in batches:
             p = subword.score(shared.value, batch.column("text"))
             hit = (p >= threshold).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(p), pa.array(hit)], [*batch.schema.names, "_score", "_predicted"]
-            )
-
-    more = [t.StructField("_score", t.DoubleType()), t.StructField("_predicted", t.IntegerType())]
-    if keep:
-        return docs.mapInArrow(add, t.StructType([*docs.schema.fields, *more]))
-    key = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    narrow = key.mapInArrow(_drop_text(add), "doc_id long, _score double, _predicted int")
-    return narrow.select(
-        "doc_id",
-        F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"),
-        F.col("_score").alias("score"),
-        F.col("_predicted").alias("predicted"),
-    )
-
-
-def _drop_text(add):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in add(batches):
-            yield batch.select(["doc_id", "_score", "_predicted"])
-
-    return run
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array(hit)], ["doc_id", "score", "predicted"])
 
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = subword.score(shared.value, batch.column("text"))
+            yield batch.filter(pa.array((p >= threshold) == bool(keep)))
 
+    if keep is not None:
+        return docs.mapInArrow(choose, docs.schema)
+    key = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = key.mapInArrow(add, "doc_id long, score double, predicted int")
+    held = F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "score", "predicted")

@@ -11,7 +11,7 @@ FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 SETTINGS = subword.Settings(lower=True, alnum=True, window=8, rows=6000, balanced=True, epochs=8)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, settings: subword.Settings = SETTINGS, keep: bool = False) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, settings: subword.Settings = SETTINGS, keep: int | None = None) -> DataFrame:
     """See scoring.scored(); the label is labels.toxic, held out are ids with crc32 mod 3 = 1.
 
     A document is as toxic as its most toxic passage: bags of 8 words are

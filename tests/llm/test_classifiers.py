@@ -57,12 +57,15 @@ def test_held_out_accuracy_and_odd_rows(spark, labelled, module):
     assert np.mean([a == b for a, b in held]) > 0.95
 
 
-def test_keep_returns_the_columns_of_docs(spark, labelled):
+def test_keep_returns_the_rows_of_docs(spark, labelled):
     docs, labels = labelled
-    df = spark.createDataFrame(docs[:50], "doc_id long, text string, lang string, source string")
+    df = spark.createDataFrame(docs[:60], "doc_id long, text string, lang string, source string").selectExpr("*", "1 as score", "doc_id % 2 as predicted")
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    kept = toxicity.toxicity_scores(df, lab, keep=True)
-    assert kept.columns == [*df.columns, "_score", "_predicted"] and sorted(r.doc_id for r in kept.collect()) == list(range(50))
+    said = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(df, lab).collect()}
+    for y in (0, 1):
+        kept = toxicity.toxicity_scores(df, lab, keep=y)
+        assert kept.columns == df.columns
+        assert sorted(map(tuple, kept.collect())) == sorted(tuple(r) for r in df.collect() if said[r.doc_id] == y)
 
 
 def test_without_labels_or_docs(spark):
