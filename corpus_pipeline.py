@@ -20,12 +20,12 @@ from readloom.llm.toxicity import toxicity_scores
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
-    return toxicity_scores(docs, table(spark, sf_dir, "labels"), keep=True).where("_predicted = 0").select(*docs.columns)
+    return toxicity_scores(docs, table(spark, sf_dir, "labels"), keep=0)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
-    return quality_scores(docs, table(spark, sf_dir, "labels"), keep=True).where("_predicted = 1").select(*docs.columns)
+    return quality_scores(docs, table(spark, sf_dir, "labels"), keep=1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
