@@ -16,7 +16,7 @@ from readloom.functions import cigar, scalars
 CARRIED = ("read_id", "qname", "flag", "mapq")
 
 
-def columns(reads: DataFrame, start: int | None = None, end: int | None = None, carry: tuple[str, ...] = CARRIED, bases: bool = True) -> DataFrame:
+def columns(reads: DataFrame, start: int | Column | None = None, end: int | Column | None = None, carry: tuple[str, ...] = CARRIED, bases: bool = True) -> DataFrame:
     """(contig, pos, kind, qpos, del_len, insert_len, is_refskip, ...): a row for each read at each position it covers.
 
     kind: match, insertion (last base before an insertion), del, complex (last
@@ -29,9 +29,10 @@ def columns(reads: DataFrame, start: int | None = None, end: int | None = None,
     ops = F.filter(cigar.placed(F.col("pos"), F.col("ops")), lambda o: o["op"].isin("M", "=", "X", "D", "N"))
     each = reads.select("contig", *have, *extra, F.explode(ops).alias("o"))
     o = lambda f: F.col(f"o.{f}")
-    low = o("rs") if start is None else F.greatest(o("rs"), F.lit(start).cast("long"))
+    bound = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("long")
+    low = o("rs") if start is None else F.greatest(o("rs"), bound(start))
     last = o("rs") + o("len") - 1
-    high = last if end is None else F.least(last, F.lit(end).cast("long"))
+    high = last if end is None else F.least(last, bound(end))
     each = each.withColumns({"low": low, "high": high}).where("low <= high")
     rows = each.select(
         "contig", *have, *extra, F.explode(F.sequence("low", "high")).alias("pos"), o("op").alias("op"), o("rs").alias("rs"), o("qs").alias("qs"), o("len").alias("len"), o("ins_after").alias("ins")

@@ -342,7 +342,7 @@ def segmented_pileup(spark: SparkSession, d: str) -> DataFrame:
     tiles = intervals.segments(contigs, 1000, 100)
     spans = _reads(spark, d).withColumns({"start": F.col("pos"), "end": cigar.end_position(F.col("pos"), F.col("ops"))})
     dealt = intervals.overlap_join(spans, tiles).select(F.col("l_contig").alias("contig"), F.col("l_pos").alias("pos"), F.col("l_ops").alias("ops"), F.col("r_core_start").alias("core_start"), F.col("r_core_end").alias("core_end"))
-    cols = pileup.columns(dealt, carry=("core_start", "core_end"), bases=False).where("pos between core_start and core_end")
+    cols = pileup.columns(dealt, F.col("core_start"), F.col("core_end"), carry=("core_start", "core_end"), bases=False)
     return cols.groupBy("contig", "pos").agg(F.count(F.lit(1)).alias("depth"))
 
 
