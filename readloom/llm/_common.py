@@ -92,7 +92,8 @@ def labelled_texts(
     """Whole texts with labels for fitting: a sample of at most rows documents and max_bytes bytes.
 
     The id list is broadcast and has at most rows entries.  Rows stream to the
-    driver; it stops at max_bytes.  A repeated doc_id counts once.
+    driver, which stops at max_bytes and orders them by id.  A repeated doc_id
+    counts once.
     """
     ids = labelled_ids(labels, label, folds, held_out, rows, balanced)
     if not ids:
@@ -105,9 +106,11 @@ def labelled_texts(
         .groupBy("doc_id", "label")
         .agg(F.max("text").alias("text"))
     )
-    left = max_bytes
+    left, found = max_bytes, []
     for r in texts.toLocalIterator():
         left -= len(r.text.encode("utf-8", "surrogatepass"))
         if left < 0:
-            return
-        yield r.text, r.label
+            break
+        found.append((r.doc_id, r.text, r.label))
+    found.sort()  # so that a fit doesn't depend on how the table is dealt out
+    yield from ((text, y) for _, text, y in found)
