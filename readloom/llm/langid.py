@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.llm import _text as T
@@ -31,7 +31,7 @@ _BATCH = 256
 
 @dataclass(frozen=True)
 class Settings:
-    """The sample is about rows texts for each language, at most max_rows and max_bytes in all."""
+    """The sample is about rows texts for each language, at most max_rows and max_bytes of windows in all, dealt evenly."""
 
     rows: int = 400
     max_rows: int = 4000
@@ -54,21 +54,11 @@ class Network:
     bias: np.ndarray
 
 
-def _normal(text: str) -> bytes:
-    return text.encode("utf-8", "replace")
-
-
-def _windows_of(data: bytes, number: int, rng: np.random.Generator) -> list[np.ndarray]:
-    """Some windows of one text, zero-padded."""
-    last = max(len(data) - WINDOW, 0)
-    starts = {0} if last == 0 else set(rng.integers(0, last + 1, number).tolist())
-    out = []
-    for s in sorted(starts):
-        row = np.zeros(WINDOW, np.uint8)
-        piece = np.frombuffer(data[s : s + WINDOW], np.uint8)
-        row[: len(piece)] = piece
-        out.append(row)
-    return out
+def _padded(data: bytes) -> np.ndarray:
+    """A window, zero-padded."""
+    row = np.zeros(WINDOW, np.uint8)
+    row[: len(data)] = np.frombuffer(data, np.uint8)
+    return row
 
 
 class _Trainer:
@@ -126,14 +116,13 @@ class _Trainer:
         return loss
 
 
-def fit(settings: Settings, texts: Iterator[tuple[str, str]]) -> Network | None:
-    """A network for the languages of (text, language) pairs; None without any."""
+def fit(settings: Settings, windows: Iterator[tuple[bytes, str]]) -> Network | None:
+    """A network for the languages of (window, language) pairs; None without any."""
     rng = np.random.default_rng(settings.seed)
     rows, labels = [], []
-    for text, language in texts:
-        for row in _windows_of(_normal(text), settings.windows, rng):
-            rows.append(row)
-            labels.append(language)
+    for data, language in windows:
+        rows.append(_padded(data))
+        labels.append(language)
     if not rows:
         return None
     languages = sorted(set(labels))
@@ -200,27 +189,39 @@ def classify(net: Network, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return best, score
 
 
-def labelled(docs: DataFrame, s: Settings) -> Iterator[tuple[str, str]]:
-    """Whole texts with their lang, from outside the held-out fold.
+def labelled(docs: DataFrame, s: Settings) -> Iterator[tuple[bytes, str]]:
+    """Windows of texts with their lang, from outside the held-out fold.
 
-    Of each of the max_languages most frequent languages about rows texts with
-    the smallest id hashes are taken, then at most max_rows and max_bytes.
+    The max_languages most frequent languages share max_rows and max_bytes
+    evenly; of each, up to 1.2 * rows documents with the smallest id hashes are
+    taken.  Windows are cut in the executors, so a text's length doesn't matter.
+    A repeated doc_id counts once in a language.
     """
     usable = docs.where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     ).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.max_languages).collect()
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc_id").alias("ids"))
+    counts = counts.orderBy(F.desc("n"), "lang").limit(s.max_languages).collect()
     if not counts:
         return
-    share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.2 * s.rows / r["count"]))))
+    most = max(1, min(int(1.2 * s.rows), s.max_rows // len(counts), s.max_bytes // (len(counts) * s.windows * WINDOW)))
+    # Twice as many as wanted pass by their hash, so that few rows are ordered and hardly ever too few.
+    share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, (2 * most + 20) / max(r["ids"], 1)))))
     uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = usable.where(uniform < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
-    left = s.max_bytes
-    for n, r in enumerate(picked.select("text", "lang").toLocalIterator()):
-        left -= len(r.text)
-        if left < 0 or n >= s.max_rows:
-            return
-        yield r.text, r.lang
+    data = F.col("text").cast("binary")
+    last = F.greatest(F.octet_length("text") - WINDOW, F.lit(0))
+    starts = (F.pmod(F.xxhash64("doc_id", F.lit(k)), last + 1).cast("int") for k in range(s.windows))
+    pieces = F.array_distinct(F.array(*(F.substring(data, at + 1, F.lit(WINDOW)) for at in starts)))
+    picked = (
+        usable.where(uniform < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
+        .groupBy("lang", "doc_id")
+        .agg(F.min(pieces).alias("pieces"))
+        .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(uniform, "doc_id")))
+        .where(F.col("nth") <= most)
+    )
+    for r in sorted(picked.collect(), key=lambda r: (r.nth, r.lang)):
+        for piece in r.pieces:
+            yield bytes(piece), r.lang
 
 
 def languages(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

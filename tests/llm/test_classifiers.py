@@ -134,3 +134,23 @@ def test_folded_tables_equal_the_convolution():
     z = np.maximum(np.concatenate(pooled, axis=1), 0) @ trainer.p["w"] + trainer.p["c"]
     want = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
     assert np.allclose(langid.windows_proba(langid._folded(trainer.p, ["a", "b", "c"], s), x), want, atol=1e-4)
+
+
+def test_every_language_is_learnt(spark):
+    """Many languages stored one after the other, and a text above the byte budget that comes first."""
+    names = [f"l{k:02}" for k in range(12)]
+    docs = [(0, "long " * 2000, "l00")] + [(1 + i, f"{name} word " * 20, name) for name in names for i in range(names.index(name) * 100, names.index(name) * 100 + 100)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").coalesce(1)
+    settings = langid.Settings(rows=40, max_rows=60, max_bytes=60 * 3 * langid.WINDOW, windows=3)
+    seen: dict[str, set] = {}
+    for window, lang in langid.labelled(df, settings):
+        assert 0 < len(window) <= langid.WINDOW
+        seen.setdefault(lang, set()).add(window)
+    assert sorted(seen) == names
+
+
+def test_a_language_of_long_texts_is_learnt(spark):
+    docs = [(i, ("aeiou " if i % 2 else "kzwx ") * 3000, "xx" if i % 2 else "yy") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    rows = langid.languages(df, langid.Settings(max_bytes=12_000)).collect()
+    assert all(r.lang_pred == ("xx" if r.doc_id % 2 else "yy") for r in rows)
