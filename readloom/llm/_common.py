@@ -86,31 +86,55 @@ def labelled_ids(
     return [(r.doc_id, r.label) for part, n in parts for r in part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
 
 
+#: Texts of up to a label's bytes divided by this are taken in order; longer ones after them, the shortest first.
+FAIR_TEXTS = 64
+
+
+def within(found: list[tuple[int, int, int]], max_bytes: int) -> list[tuple[int, int]]:
+    """(doc_id, label) pairs of (doc_id, label, bytes) that fit into max_bytes, which the labels share.
+
+    What a label leaves over goes to the other.  A text that doesn't fit is
+    skipped for the next; a label of which none fits is an error.
+    """
+    groups: dict[int, list[tuple[int, int]]] = {}
+    for i, y, n in found:
+        groups.setdefault(y, []).append((i, n))
+    out, left = [], max_bytes
+    for k, (y, rows) in enumerate(sorted(groups.items(), key=lambda g: (sum(n for _, n in g[1]), g[0]))):
+        share = left // (len(groups) - k)
+        fair, before = share // FAIR_TEXTS, len(out)
+        for i, n in sorted(rows, key=lambda r: max(r[1], fair)):
+            if n <= share:
+                share, left = share - n, left - n
+                out.append((i, y))
+        if len(out) == before:
+            raise ValueError(f"none of {len(rows)} sampled texts labelled {y} fits into {max_bytes} bytes, so nothing can be learnt of them")
+    return out
+
+
 def labelled_texts(
     docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, max_bytes: int, balanced: bool = False
 ) -> Iterator[tuple[str, int]]:
     """Whole texts with labels for fitting: a sample of at most rows documents and max_bytes bytes.
 
-    The id list is broadcast and has at most rows entries.  Rows stream to the
-    driver, which stops at max_bytes and orders them by id.  A repeated doc_id
-    counts once.
+    The id list is broadcast and has at most rows entries.  Sizes are read
+    first, so that only the texts that within() chooses reach the driver, which
+    orders them by id.  A repeated doc_id counts once, with its longest size.
     """
     ids = labelled_ids(labels, label, folds, held_out, rows, balanced)
     if not ids:
         return
     spark = docs.sparkSession
-    chosen = F.broadcast(spark.createDataFrame(ids, "doc_id long, label int"))
-    texts = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .join(chosen, "doc_id")
-        .groupBy("doc_id", "label")
-        .agg(F.max("text").alias("text"))
-    )
-    left, found = max_bytes, []
-    for r in texts.toLocalIterator():
-        left -= len(r.text.encode("utf-8", "surrogatepass"))
-        if left < 0:
-            break
-        found.append((r.doc_id, r.text, r.label))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def of(pairs: list[tuple[int, int]], value: Column) -> DataFrame:
+        chosen = F.broadcast(spark.createDataFrame(pairs, "doc_id long, label int"))
+        return texts.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.max(value).alias("value"))
+
+    size = {r.doc_id: r.value for r in of(ids, F.octet_length("text")).collect()}
+    taken = within([(i, y, size[i]) for i, y in ids if i in size], max_bytes)
+    if not taken:
+        return
+    found = [(r.doc_id, r.value, r.label) for r in of(taken, F.col("text")).toLocalIterator()]
     found.sort()  # so that a fit doesn't depend on how the table is dealt out
     yield from ((text, y) for _, text, y in found)

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from readloom.llm import langid, quality, subword, toxicity
+from readloom.llm import _common, langid, quality, subword, toxicity
 
 RNG = random.Random(2)
 PLAIN = ["".join(RNG.choice("abcdefghilmnoprstu") for _ in range(RNG.randrange(2, 9))) for _ in range(500)]
@@ -154,3 +154,25 @@ def test_a_language_of_long_texts_is_learnt(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     rows = langid.languages(df, langid.Settings(max_bytes=12_000)).collect()
     assert all(r.lang_pred == ("xx" if r.doc_id % 2 else "yy") for r in rows)
+
+
+@pytest.mark.parametrize("balanced", [False, True])
+def test_long_labelled_texts_are_skipped(spark, balanced):
+    texts = [(i, "x" * (5000 if i % 3 == 0 else 10), i % 2) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, y int")
+    got = list(_common.labelled_texts(docs, docs, "y", 3, 1, 60, 1000, balanced))
+    short = [(t, y) for i, t, y in texts if len(t) == 10 and crc(i, 3) != 1]
+    assert sorted(got) == sorted(short)
+
+
+def test_labels_share_the_bytes():
+    found = [(i, 0, 100) for i in range(100)] + [(100 + i, 1, 100) for i in range(3)]
+    taken = _common.within(found, 1000)
+    assert [y for _, y in taken].count(1) == 3 and [y for _, y in taken].count(0) == 7
+
+
+def test_an_unusable_label_is_an_error(spark):
+    docs = spark.createDataFrame([(i, "x" * 2000, i % 2) for i in range(9)], "doc_id long, text string, y int")
+    with pytest.raises(ValueError, match="fits into 1000 bytes"):
+        list(_common.labelled_texts(docs, docs, "y", 3, 1, 60, 1000))
+    assert list(_common.labelled_texts(docs.limit(0), docs, "y", 3, 1, 60, 1000)) == []
