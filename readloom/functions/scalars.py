@@ -52,7 +52,8 @@ def quality(raw: Column) -> Column:
 
 
 def phred(p: Column) -> Column:
-    return -10 * F.log10(p)
+    """Infinity for a probability of 0."""
+    return F.when(p == 0, F.lit(float("inf"))).otherwise(-10 * F.log10(p))
 
 
 def phred_int(x: Column) -> Column:

@@ -203,3 +203,9 @@ def test_with_alignment_checks_lengths(spark):
     assert reads.with_alignment(df, F.lit(9).cast("long"), cigar.parse(F.lit("2S2M"))).first().pos == 9
     with pytest.raises(Exception, match="differ in length"):
         reads.with_alignment(df, F.lit(9).cast("long"), cigar.parse(F.lit("5M"))).collect()
+
+
+def test_phred_of_zero_probability(spark):
+    x = scalars.phred(F.col("p"))
+    rows = spark.createDataFrame([(0.0,), (0.01,), (1.0,), (None,)], "p double").select(x.alias("x"), scalars.phred_int(x).alias("n")).collect()
+    assert rows[0].x == float("inf") and [r.n for r in rows] == [99, 20, 0, None]
