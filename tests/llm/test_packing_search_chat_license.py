@@ -1,5 +1,6 @@
 import hashlib
 import json
+import math
 import random
 from collections import defaultdict
 
@@ -58,29 +59,47 @@ def test_pack(spark):
         packing.pack(df, capacity=0)
 
 
-def brute_top(vectors, is_query, k=5):
+def brute_top(rows, is_query, k=5):
+    """(query_id, rank, vec_id, score) of (vec_id, vector) rows, by Python integers."""
+    whole = [(i, [256 * int(x) if abs(x) > 2**60 else math.floor(256 * x) for x in v]) for i, v in rows]
     out = []
-    for q, qv in vectors.items():
+    for n, (q, qv) in enumerate(whole):
         if is_query(q):
-            scored = sorted((-int(np.dot(qv, v)), i) for i, v in vectors.items() if i != q and len(v) == len(qv))[:k]
-            out += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
+            scored = sorted((-sum(a * b for a, b in zip(qv, v, strict=True)), i) for m, (i, v) in enumerate(whole) if m != n and len(v) == len(qv))
+            out += [(q, rank, i, max(min(-s, 2**63 - 1), -(2**63))) for rank, (s, i) in enumerate(scored[:k], 1)]
     return sorted(out)
 
 
-def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(kdtree_search, "SHARD", 64)
+@pytest.mark.parametrize(("shard", "block"), [(64 * 6, 40 * 6), (1 << 19, 1 << 18)])
+def test_top_k(spark, monkeypatch, shard, block):
+    monkeypatch.setattr(kdtree_search, "SHARD", shard)
+    monkeypatch.setattr(kdtree_search, "BLOCK", block)
+    monkeypatch.setattr(kdtree_search, "BLOCK_ROWS", 3)
     monkeypatch.setattr(kdtree_search, "LEAF", 8)
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(0, 0.3, 6).astype(np.float32).tolist()) for i in range(300)]
     rows += [(i, [0.5] * 6) for i in range(300, 420)] + [(420, [0.1, 0.2]), (450, [0.3, 0.1]), (460, [0.3, -0.1])]
-    bad = [(500, None), (501, [0.1, None]), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (None, [0.1] * 6), (300, [0.5] * 6)]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").selectExpr("*", "1 as v", "2 as shard", "3 as score")
-    vectors = {i: np.floor(256 * np.array(v, np.float32).astype(np.float64)).astype(np.int64) for i, v in rows}
+    rows += [(i, []) for i in (530, 8, 7, 1, 2, 540)]  # empty vectors score 0; ties go to the smaller ids
+    rows += [(10, [0.25] * 6), (300, [0.5] * 6), (300, [0.5] * 6), (460, [0.5, 0.5])]  # repeated ids, and repeated rows
+    bad = [(500, None), (501, [0.1, None]), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (None, [0.1] * 6)]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").selectExpr("*", "1 as v", "2 as shard", "3 as score", "4 as row")
     got = kdtree_search.top_k(df, F.col("vec_id") % 10 == 0)
-    assert sorted(map(tuple, got.collect())) == brute_top(vectors, lambda i: i % 10 == 0)
+    assert sorted(map(tuple, got.collect())) == brute_top([(i, np.float32(v).astype(float).tolist()) for i, v in rows], lambda i: i % 10 == 0)
     assert kdtree_search.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+@pytest.mark.parametrize("top", [1e8, 1e20, 1e300])
+def test_top_k_of_large_components(spark, monkeypatch, top):
+    """Beyond 53, 62 and 64 bits: scores still decide exactly."""
+    monkeypatch.setattr(kdtree_search, "SHARD", 90)
+    monkeypatch.setattr(kdtree_search, "LEAF", 4)
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(0, 1, 3) * rng.choice([1, top])).tolist()) for i in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = kdtree_search.top_k(df, F.col("vec_id") % 4 == 0)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows, lambda i: i % 4 == 0)
+
+
 def test_boxes_hold_their_points():
     rng = np.random.default_rng(3)
     tree = kdtree_search.build(rng.integers(-9, 9, (200, 4)).astype(float), np.arange(200), leaf=10)
