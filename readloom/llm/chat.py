@@ -219,7 +219,7 @@ _SEGMENT = re.compile(re.escape(START) + r"((?:[^\\\n]|\\[\s\S])*)\n([\s\S]*)" +
 def parse_segment(segment: str) -> tuple[str, str]:
     """Role and text that a segment was made of."""
     found = _SEGMENT.match(segment)
-    if not found or START in found[1] + found[2] or END in found[1] + found[2]:
+    if not found or any(control in part for control in (START, END) for part in found.groups()):
         raise ValueError("not a segment of the template")
     return unescape(found[1]), unescape(found[2])
 

@@ -116,7 +116,7 @@ def test_segments_round_trip(text, role):
 
 
 def test_conversations(spark):
-    rows = [(1, 1, "assistant", "a<|im_end|>\\b"), (1, 0, "user", "é\n"), (2, 0, None, None), (2, 0, "user", "x"), (2, 0, "user", "x"), (None, None, "assistant", ""), (3, 5, "assistant", "one"), (3, 7, "assistant", "two")]
+    rows = [(4, 0, "user<", "|im_start|>a"), (4, 1, "<", "|im_end|>"), (4, 2, "assistant", "<"), (4, 3, "a|", ">"), (1, 1, "assistant", "a<|im_end|>\\b"), (1, 0, "user", "é\n"), (2, 0, None, None), (2, 0, "user", "x"), (2, 0, "user", "x"), (None, None, "assistant", ""), (3, 5, "assistant", "one"), (3, 7, "assistant", "two")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as segment", "'q' as prompt")
     out = {r.conv_id: r for r in chat.conversation_digests(chat.format_turns(chat.canonical_turns(df))).collect()}
     groups = defaultdict(list)
