@@ -31,12 +31,14 @@ _BATCH = 256
 
 @dataclass(frozen=True)
 class Settings:
-    """The sample is about rows texts for each language, at most max_rows and max_bytes of windows in all, dealt evenly."""
+    """The sample is about rows texts for each language, at most max_rows and max_bytes of windows in all, dealt evenly.
+
+    Every language is learnt, from one text at least, however many there are.
+    """
 
     rows: int = 400
     max_rows: int = 4000
     max_bytes: int = 24 << 20
-    max_languages: int = 200
     windows: int = 3
     filters: int = 16
     dims: int = 8
@@ -192,28 +194,29 @@ def classify(net: Network, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def labelled(docs: DataFrame, s: Settings) -> Iterator[tuple[bytes, str]]:
     """Windows of texts with their lang, from outside the held-out fold.
 
-    The max_languages most frequent languages share max_rows and max_bytes
-    evenly; of each, up to 1.2 * rows documents with the smallest id hashes are
-    taken.  Windows are cut in the executors, so a text's length doesn't matter.
-    A repeated doc_id counts once in a language.
+    All languages share max_rows and max_bytes evenly; of each, up to 1.2 * rows
+    documents with the smallest id hashes are taken, one at least.  Windows are
+    cut in the executors, so a text's length doesn't matter.  A repeated doc_id
+    counts once in a language.
     """
     usable = docs.where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     ).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc_id").alias("ids"))
-    counts = counts.orderBy(F.desc("n"), "lang").limit(s.max_languages).collect()
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids")).collect()
     if not counts:
         return
     most = max(1, min(int(1.2 * s.rows), s.max_rows // len(counts), s.max_bytes // (len(counts) * s.windows * WINDOW)))
     # Twice as many as wanted pass by their hash, so that few rows are ordered and hardly ever too few.
-    share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, (2 * most + 20) / max(r["ids"], 1)))))
+    shares = [(r.lang, min(1.0, (2 * most + 20) / max(r.ids, 1))) for r in counts]
+    share = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share double"))
     uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     data = F.col("text").cast("binary")
     last = F.greatest(F.octet_length("text") - WINDOW, F.lit(0))
     starts = (F.pmod(F.xxhash64("doc_id", F.lit(k)), last + 1).cast("int") for k in range(s.windows))
     pieces = F.array_distinct(F.array(*(F.substring(data, at + 1, F.lit(WINDOW)) for at in starts)))
     picked = (
-        usable.where(uniform < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
+        usable.join(share, "lang")
+        .where(uniform < F.col("share"))
         .groupBy("lang", "doc_id")
         .agg(F.min(pieces).alias("pieces"))
         .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(uniform, "doc_id")))

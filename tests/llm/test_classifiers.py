@@ -176,3 +176,44 @@ def test_an_unusable_label_is_an_error(spark):
     with pytest.raises(ValueError, match="fits into 1000 bytes"):
         list(_common.labelled_texts(docs, docs, "y", 3, 1, 60, 1000))
     assert list(_common.labelled_texts(docs.limit(0), docs, "y", 3, 1, 60, 1000)) == []
+
+
+def test_rare_languages_are_learnt(spark):
+    """More languages than the sample has rows: each still has one."""
+    docs = [(i, f"x{i % 300} y{i % 300}", f"l{i % 300:03}") for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    seen = [lang for _, lang in langid.labelled(df, langid.Settings(max_rows=50, windows=1))]
+    assert sorted(seen) == [f"l{k:03}" for k in range(300)]
+
+
+@pytest.mark.parametrize("huge", [0, 1])
+def test_results_do_not_depend_on_the_layout(spark, labelled, huge):
+    """Two and five partitions, with and without a labelled text that is larger than the whole sample may be."""
+    docs, labels = labelled
+    langs = [(i, t, ("aa", "bb")[i % 2]) for i, t, _, _ in docs]
+    if huge:
+        langs.insert(0, (0, "vast words " * 2_400_000, "aa"))
+    df = spark.createDataFrame(langs, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    makers = [
+        (langid.languages, lambda r: (r.doc_id or 0, r.lang_pred, round(r.score, 5))),
+        (lambda d: quality.quality_scores(d, lab), lambda r: (r.doc_id or 0, r.predicted, round(r.score, 5))),
+        (lambda d: toxicity.toxicity_scores(d, lab), lambda r: (r.doc_id or 0, r.predicted, round(r.score, 5))),
+    ]
+    for make, row in makers:
+        two, five = (sorted(map(row, make(df.repartition(n)).collect())) for n in (2, 5))
+        assert two == five
+        assert len({x[2] for x in two}) > 100  # no constant
+
+
+def test_the_worst_passage_counts():
+    """A document's score is that of its worst passage, by vectors and softmax without folding."""
+    settings = toxicity.SETTINGS
+    texts = [(toxic_text(40), 1) if i % 3 == 0 else (" ".join(words(40)), 0) for i in range(200)]
+    model = subword.fit(settings, texts)
+    plain = subword.Model(subword.Settings(lower=True, alnum=True), model.logits, model.bias)
+    for n in (1, 3, 4, 5, 6, 7, 23, 60):
+        w = [f"{x}{i}" for i, x in enumerate(toxic_text(n).split())]
+        ends = [*range(settings.window, n, settings.window // 2), n]
+        passages = [" ".join(w[max(0, e - settings.window) : e]) for e in ends]
+        assert subword.score(model, pa.array([" ".join(w)]))[0] == pytest.approx(subword.score(plain, pa.array(passages)).max(), abs=1e-5)
