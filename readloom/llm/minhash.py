@@ -9,7 +9,8 @@ Shape of the plan, for documents of which any group may be a third of all rows:
    smallest doc_id.  Copies cost one map-side aggregated row from here on.
 3. Representatives that share a band key are in one bucket.  Buckets are joined
    with aggregates of themselves (their smallest and largest member), so no
-   bucket is ever gathered in one place.  Every member is compared with these
+   bucket is ever gathered in one place; the aggregates of large buckets, of
+   which there are few, are broadcast.  Every member is compared with these
    two pivots; links found give components by large-star and small-star.
 4. A bucket whose members already are in one component needs nothing more.  In
    the others every member outside the bucket's largest component is compared
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm import _text as T
-from readloom.llm._common import durable, if_small
+from readloom.llm._common import BROADCAST_ROWS, durable, if_small
 from readloom.llm.components import components
 
 HASHES, ROWS, SHINGLE, PERCENT = 128, 4, 5, 75
@@ -43,6 +44,11 @@ HASHES, ROWS, SHINGLE, PERCENT = 128, 4, 5, 75
 SIGNATURE_FLOOR = 0.52
 #: Nodes of a tile in which outsiders and members of buckets are compared.
 TILE = 128
+#: Members of a bucket, at least, from which its aggregates are broadcast.
+LARGE = 512
+#: Nodes from here on stand for classes without a doc_id of their own; doc_ids are smaller.
+UNNAMED = 1 << 62
+_NO_ID = (1 << 63) - 1
 
 _rng = np.random.default_rng(7919)
 _A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,14 +115,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     digest[1, i] = T.mix(part[i] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)).sum(dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").slice(done, len(part)),
+                    *(batch.column(c).slice(done, len(part)) for c in ("doc_id", "text_hash")),
                     pa.array(sizes),
                     pa.array(digest[0].view(np.int64)),
                     pa.array(digest[1].view(np.int64)),
                     pa.array(keys, pa.list_(pa.int64())),
                     pa.array(marks, pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "d1", "d2", "bands", "signature"],
+                ["doc_id", "text_hash", "n_shingles", "d1", "d2", "bands", "signature"],
             )
             done += len(part)
 
@@ -128,7 +134,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while done < len(column):
             part = [s.view(np.int64) for s in islice(sets, 256)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(done, len(part)), pa.array(part, pa.list_(pa.int64()))], ["node", "shingles"]
+                [batch.column("node").slice(done, len(part)), pa.array(part, pa.list_(pa.int64()))], ["node", "shingles"]
             )
             done += len(part)
 
@@ -163,18 +169,47 @@ def _pairs(a: str, b: str) -> list:
     return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
 
 
+def _by_key(rows: DataFrame, keys: DataFrame, most: int) -> DataFrame:
+    """rows joined with keys(key, n, ...), where n is the number of rows of each key.
+
+    Keys of more than `most` rows are broadcast, so that no task gets all of a
+    large key's rows; there are at most (rows / most) of them.
+    """
+    large = durable(keys.where(F.col("n") > most))
+    if large.isEmpty():
+        return rows.join(keys, "key")
+    few = F.broadcast(large)
+    rest = rows.join(F.broadcast(large.select("key")), "key", "left_anti")
+    return rows.join(few, "key").unionByName(rest.join(keys.where(F.col("n") <= most), "key"))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the documents that wanted(node, key, text_hash) names, one row each.
+
+    Only documents that occur repeatedly are shuffled with their texts.
+    """
+    found = docs.join(if_small(wanted), ["key", "text_hash"])
+    again = durable(found.groupBy("node").count().where("count > 1").select("node"))
+    if again.isEmpty():
+        return found.select("node", "text")
+    once = found.join(if_small(again), "node", "left_semi").dropDuplicates(["node"])
+    return found.join(if_small(again), "node", "left_anti").unionByName(once).select("node", "text")
+
+
 def _links_to_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """(node, component) of the representatives with links; signed has a row for each class."""
+    """(node, component) of the representatives with links; signed has a row for each class, docs has key, text_hash and text."""
     band = signed.select(F.explode("bands").alias("key"), "node")
     shared = band.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")
     )
-    members = durable(band.join(shared.where("n > 1 and low < high"), "key").select("key", "node", "low", "high"))
+    most = max(LARGE, signed.count() * (HASHES // ROWS) // BROADCAST_ROWS)
+    shared = durable(shared.where("n > 1 and low < high"))
+    members = durable(_by_key(band, shared, most).select("key", "node", "low", "high"))
     rows = members.count()  # of everything from here on but the pivots' pairs, which are twice as many
     nodes = durable(members.select("node").distinct(), rows)
     wanted = if_small(nodes)
-    texts = docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    sets = durable(texts.mapInArrow(_sets, "node long, shingles array<long>"))
+    named = durable(signed.join(wanted, "node", "left_semi").select("node", "key", "text_hash"), rows)
+    sets = durable(_texts(docs, named).mapInArrow(_sets, "node long, shingles array<long>"))
     signatures = durable(signed.join(wanted, "node", "left_semi").select("node", "signature"), rows)
 
     stars = (
@@ -191,9 +226,9 @@ def _links_to_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
         .select("key", "node", "low", F.coalesce("component", "node").alias("component")),
         rows,
     )
-    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
-    open_ = durable(placed.join(mixed.select("key"), "key", "left_semi"), rows)
-    late = _late_links(open_, sets, rows)
+    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
+    open_ = durable(_by_key(placed, durable(mixed.select("key", "n")), most).drop("n"), rows)
+    late = _late_links(open_, sets, rows, most)
     as_is = found.select(F.col("node").alias("x"), F.col("component").alias("cx"))
     bridges = late
     for end in ("u", "v"):
@@ -240,7 +275,7 @@ def _tile_links(rows: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def _late_links(open_: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
+def _late_links(open_: DataFrame, sets: DataFrame, rows: int, most: int) -> DataFrame:
     """Links of members outside their bucket's largest component, for buckets of several components.
 
     Nodes are dealt to tiles of about TILE nodes that tend to share buckets.  An
@@ -252,9 +287,9 @@ def _late_links(open_: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
         open_.groupBy("key", "component")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("key")
-        .agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+        .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
     )
-    outside = open_.join(main, "key").where("component <> main").select("key", F.col("node").alias("o"))
+    outside = _by_key(open_, durable(main), most).where("component <> main").select("key", F.col("node").alias("o"))
     anchored = open_.groupBy("node").agg(F.min("low").alias("anchor"), F.min("component").alias("component"))
     number = anchored.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("number"))
     tiles = durable(
@@ -286,34 +321,51 @@ def _late_links(open_: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for each row of docs(doc_id, text, ...).
-
-    Other columns are ignored.  Null or empty texts have an empty set and are
-    linked with nothing: component_id is their doc_id.  Rows that share a doc_id
-    count as one document with the links of all of them.  A null doc_id takes
-    part through its text's class, and its row is never kept.  An empty table
-    gives an empty result.
+    """(doc_id, n_shingles, component_id, kept, text_hash), a row for each row of docs(doc_id, text, ...).
+
+    Other columns are ignored.  kept marks one text of each component: that of
+    its smallest doc_id.  Null or empty texts have an empty set and are linked
+    with nothing: component_id is their doc_id, and all are kept.  Rows that share
+    a doc_id are judged by their own texts; text_hash (xxhash64) tells them apart,
+    and rows that share it as well get equal rows.  Documents without an id take
+    part; a component of such documents only has a null component_id, and one of
+    its texts is kept.  doc_ids are below 2**62.  An empty table gives an empty
+    result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text, key = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    docs = docs.select(key.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), F.coalesce(key, F.lit(_NO_ID)).alias("key"))
     rows = durable(
-        docs.mapInArrow(_sign, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary")
+        docs.select("doc_id", "text", "text_hash").mapInArrow(
+            _sign, "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary"
+        )
     )
-    classes = (
+    # rows of a class have equal sets, so equal bands and signatures
+    classes = durable(
         rows.where("n_shingles > 0")
         .groupBy("d1", "d2", "n_shingles")
         .agg(
-            F.min("doc_id").alias("node"),
-            F.min_by("bands", "doc_id").alias("bands"),
-            F.min_by("signature", "doc_id").alias("signature"),
+            F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), "text_hash")).alias("first"),
+            F.first("bands").alias("bands"),
+            F.first("signature").alias("signature"),
         )
-        .where("node is not null")
+        .select("d1", "d2", "n_shingles", "first.key", "first.text_hash", "bands", "signature")
+    )
+    # a doc_id stands for one class only; further ones of its texts, and those without an id, get numbers of their own
+    twice = durable(
+        classes.where(F.col("key") != _NO_ID).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("d1").alias("d")).where("n > 1")
     )
-    classes = durable(classes)
-    linked = _links_to_components(docs, classes.select("node", "bands", "signature"))
-    placed = classes.select("d1", "d2", "n_shingles", "node").join(linked, "node", "left")
-    placed = placed.select("d1", "d2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "d1", "d2").join(placed, ["d1", "d2", "n_shingles"], "left")
-    component = F.coalesce("component_id", "doc_id")
+    own = F.lit(UNNAMED) + F.pmod(F.xxhash64("d1", "d2"), F.lit(UNNAMED - 1))
+    unnamed = (F.col("key") == _NO_ID) | (F.col("d").isNotNull() & (F.col("d") != F.col("d1")))
+    classes = durable(classes.join(if_small(twice.select("key", "d")), "key", "left").withColumn("node", F.when(unnamed, own).otherwise(F.col("key"))).drop("d"))
+    linked = _links_to_components(docs, classes.select("node", "key", "text_hash", "bands", "signature"))
+    placed = classes.select("d1", "d2", "n_shingles", "node", "key", F.col("text_hash").alias("first_hash")).join(linked, "node", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "node"))
+    out = rows.select("doc_id", "text_hash", "n_shingles", "d1", "d2").join(placed, ["d1", "d2", "n_shingles"], "left")
+    first = (F.col("node") == F.col("component")) & (F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("key")) & (F.col("text_hash") == F.col("first_hash"))
     return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("component") < UNNAMED, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.coalesce(first, F.lit(True)).alias("kept"),
+        "text_hash",
     )

@@ -14,7 +14,9 @@ from readloom.llm._common import table
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readloom.llm.minhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    least = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return found.select("doc_id", "n_shingles", "component_id", least.alias("kept"))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,29 @@ def test_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, text, 7), (None, text, 8), (3, None, 9), (4, None, None), (1, text, 7), (None, None, 0), (5, text.upper(), 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id int").selectExpr("*", "component_id as node", "1 as key", "2 as bands")
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in minhash.near_duplicates(df).collect())
-    assert got == [(0, 0, 0, False), (0, 2, 1, False), (1, 2, 1, True), (1, 2, 1, True), (3, 0, 3, True), (4, 0, 4, True), (5, 2, 1, False)]
+    assert got == [(0, 0, 0, True), (0, 2, 1, False), (1, 2, 1, True), (1, 2, 1, True), (3, 0, 3, True), (4, 0, 4, True), (5, 2, 1, False)]
+
+
+def test_clashing_and_missing_ids(spark):
+    """Rows of one id are judged by their texts; of a group without ids one text stays."""
+    make = lambda n: [RNG.choice(VOCABULARY) for _ in range(n)]
+    a, b, c, d = make(100), make(90), make(80), make(70)
+    join = " ".join
+    rows = [(3, join(a)), (7, join(a)), (7, join(b)), (7, join(b + ["end"])), (9, join(c)), (None, join(c)), (None, join(d)), (None, join(d).upper()), (None, join(d + ["z"])), (7, join(c[:40])), (9, join(c))]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).withColumnRenamed("text_hash", "h")
+    texts = spark.createDataFrame([(t,) for t in {t for _, t in rows}], "text string").selectExpr("text", "xxhash64(text) as h")
+    got = {(r.doc_id, r.text): (r.component_id, r.kept) for r in found.join(texts, "h").collect()}
+    assert got[3, join(a)] == (3, True) and got[7, join(a)] == (3, False)
+    assert sorted(got[7, t][1] for t in (join(b), join(b + ["end"]))) == [False, True]
+    assert got[9, join(c)] == (9, True) and got[None, join(c)] == (9, False) and got[7, join(c[:40])][1]
+    nameless = [got[None, t] for t in (join(d), join(d).upper(), join(d + ["z"]))]
+    assert sorted(k for _, k in nameless) == [False, False, True] and {x for x, _ in nameless} == {None}
+
+
+def test_large_buckets_are_broadcast(spark, corpus, monkeypatch):
+    monkeypatch.setattr(minhash, "LARGE", 3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in result(spark, corpus)}
+    assert got == brute.components(corpus)
 
 
 def test_empty_table(spark):
