@@ -20,9 +20,12 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.minhash import near_duplicates
     from readloom.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    found = near_duplicates(docs).select("doc_id", "text_hash", F.col("component_id").alias("cluster"))
+    return pack(docs, clusters=found)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,33 +32,72 @@ def test_best_fit_takes_the_tightest_compatible_bin(items):
     assert packing.best_fit(pieces, 50) == want
 
 
-def test_pack(spark):
+def packing_rows():
     rows = [(i, "x" * RNG.randrange(0, 260), f"s{i % 7 if i % 3 else 0}") for i in range(300)]
     rows += [(1000, None, "s1"), (1001, "", None), (None, "abc", None), (1002, "é" * 100, "s1"), (1002, "é" * 100, "s1"), (1003, "copy", "a"), (1004, "COPY", "b")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as shard", "2 as cluster", "3 as n_bytes")
+    return rows + [(1005, "a😀" * 70, "c"), (1006, "same", "s1"), (1006, "same", "s2"), (1007, "z" * 100, None)] + [(1008, "copied row", "hot")] * 90
+
+
+def test_pack(spark):
+    rows = packing_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as shard", "2 as cluster", "3 as size")
     out = packing.pack(df, capacity=100, shard_rows=64).collect()
     size = lambda t: len((t or "").encode())
-    assert sum(r.n_bytes for r in out) == sum(size(t) for _, t, _ in rows)
+    assert sum(r.size for r in out) == sum(size(t) for _, t, _ in rows)
     source = {i: s for i, _, s in rows}
     cluster = {i: (t or "").lower() for i, t, _ in rows}
+    texts = {i: (t or "").encode() for i, t, _ in rows}
     bins = defaultdict(list)
     for r in out:
+        texts[r.doc_id][r.doc_offset : r.doc_offset + r.size].decode()  # no cut inside a character
         if r.bin_id is not None:
             bins[r.bin_id].append(r)
         else:
-            assert r.n_bytes == 0
+            assert r.size == 0
     for held in bins.values():
         held.sort(key=lambda r: r.bin_offset)
-        assert [r.bin_offset for r in held] == [sum(x.n_bytes for x in held[:k]) for k in range(len(held))]
-        assert sum(r.n_bytes for r in held) <= 100
-        named = [source[r.doc_id] for r in held if source[r.doc_id]]
-        texts = [cluster[r.doc_id] for r in held]
-        assert len(named) == len(set(named)) and len(texts) == len(set(texts))
+        assert [r.bin_offset for r in held] == [sum(x.size for x in held[:k]) for k in range(len(held))]
+        assert sum(r.size for r in held) <= 100
+        named = [source[r.doc_id] for r in held if source[r.doc_id] and r.doc_id != 1006]
+        alike = [cluster[r.doc_id] for r in held]
+        assert len(named) == len(set(named)) and len(alike) == len(set(alike))
     assert packing.pack(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         packing.pack(df, capacity=0)
 
 
+def test_pack_does_not_depend_on_the_layout(spark):
+    df = spark.createDataFrame(packing_rows(), "doc_id long, text string, source string")
+    places = [sorted(tuple(-1 if x is None else x for x in r) for r in packing.pack(df.repartition(n), capacity=100, shard_rows=64).collect()) for n in (1, 2, 3)]
+    assert places[0] == places[1] == places[2] and len({x[5] >> 32 for x in places[0]}) > 3
+
+
+def test_pack_by_sizes_and_clusters(spark):
+    rows = [(i, f"text {i}", "s", 30 if i < 20 else i) for i in range(40)] + [(50, "none", "s", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, tokens int").withColumn("source", F.col("doc_id").cast("string"))
+    clusters = df.selectExpr("doc_id", "xxhash64(text) as text_hash", "cast(doc_id % 4 as long) as cluster")
+    out = packing.pack(df, capacity=16, size="tokens", clusters=clusters).collect()
+    assert sum(r.size for r in out) == sum(n or 0 for *_, n in rows)
+    held = defaultdict(list)
+    for r in out:
+        if r.bin_id is not None:
+            held[r.bin_id].append(r)
+    assert all(sum(r.size for r in b) <= 16 and len({r.doc_id % 4 for r in b}) == len(b) for b in held.values())
+    assert any(len(b) > 1 for b in held.values()) and [r.bin_id for r in out if r.doc_id == 50] == [None]
+
+
+@given(st.text(alphabet="aé€😀", max_size=40), st.integers(4, 20))
+@settings(max_examples=200, deadline=None)
+def test_pieces_are_whole_characters(text, capacity):
+    data = text.encode()
+    sizes = packing.byte_pieces(np.frombuffer(data, np.uint8), capacity)
+    assert sum(sizes) == len(data) and all(0 < n <= capacity for n in sizes) and all(n > capacity - 4 for n in sizes[:-1])
+    at = 0
+    for n in sizes:
+        data[at : at + n].decode()
+        at += n
+
+
 def brute_top(rows, is_query, k=5):
     """(query_id, rank, vec_id, score) of (vec_id, vector) rows, by Python integers."""
     whole = [(i, [256 * int(x) if abs(x) > 2**60 else math.floor(256 * x) for x in v]) for i, v in rows]
