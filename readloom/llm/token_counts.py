@@ -16,6 +16,7 @@ the document.  So the count is the count of the undivided text.
 
 from __future__ import annotations
 
+import json
 import os
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -24,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 CHUNK, OVERLAP, LIMIT = 32_768, 256, 512
 _BATCH_CHARS = 1 << 20
@@ -42,6 +44,10 @@ def load(tokenizer: str):
 
             path = public_tokenizers.path(tokenizer)
         made = Tokenizer.from_file(str(path))
+        spec = json.loads(made.to_str())
+        pre = spec["pre_tokenizer"] or {}
+        if pre.get("type") != "ByteLevel" or pre["add_prefix_space"] or not pre.get("use_regex", True) or spec["normalizer"]:
+            raise ValueError(f"{tokenizer}: boundaries are proven stable for byte-level pre-tokenisers without prefix space and normaliser only")
         made.no_truncation()
         made.no_padding()
         _loaded[tokenizer] = made
@@ -97,48 +103,59 @@ def count_huge(encode, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) ->
     return total + len(left.ids) - left.first(counted), pieces, widened
 
 
+def counted(column: pa.Array, tokenizer: str, chunk: int, overlap: int) -> tuple[list[int], list[int], list[int]]:
+    """Tokens, chunks and widenings of each text."""
+    coder, texts = load(tokenizer), column.to_pylist()
+    tokens, chunks, widened = [0] * len(texts), [1] * len(texts), [0] * len(texts)
+    group: list[int] = []
+    size = 0
+
+    def flush() -> None:
+        made = coder.encode_batch_fast([texts[i] for i in group], add_special_tokens=False)
+        for i, e in zip(group, made, strict=True):
+            tokens[i] = len(e)
+        group.clear()
+
+    for i, text in enumerate(texts):
+        if len(text) > chunk:
+            tokens[i], chunks[i], widened[i] = count_huge(coder.encode, text, chunk, overlap)
+        elif text:
+            group.append(i)
+            size += len(text)
+            if size > _BATCH_CHARS:
+                flush()
+                size = 0
+    flush()
+    return tokens, chunks, widened
+
+
 def _counter(tokenizer: str, chunk: int, overlap: int, limit: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = load(tokenizer)
         for batch in batches:
             column = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
-            texts = column.to_pylist()
-            tokens, chunks, widened = [0] * len(texts), [1] * len(texts), [0] * len(texts)
-            group: list[int] = []
-            size = 0
-
-            def flush() -> None:
-                made = coder.encode_batch_fast([texts[i] for i in group], add_special_tokens=False)
-                for i, e in zip(group, made, strict=True):
-                    tokens[i] = len(e)
-                group.clear()
-
-            for i, text in enumerate(texts):
-                if len(text) > chunk:
-                    tokens[i], chunks[i], widened[i] = count_huge(coder.encode, text, chunk, overlap)
-                elif text:
-                    group.append(i)
-                    size += len(text)
-                    if size > _BATCH_CHARS:
-                        flush()
-                        size = 0
-            flush()
-            n = pa.array(tokens, pa.int64())
+            tokens, chunks, widened = (pa.array(x, pa.int64()) for x in counted(column, tokenizer, chunk, overlap))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pc.binary_length(column).cast(pa.int64()),
-                    n,
-                    pc.greater(n, limit),
-                    pa.array(chunks, pa.int64()),
-                    pa.array(widened, pa.int64()),
-                ],
+                [batch.column("doc_id"), pc.binary_length(column).cast(pa.int64()), tokens, pc.greater(tokens, limit), chunks, widened],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit", "n_chunks", "n_widened"],
             )
 
     return count
 
 
+def with_token_counts(docs: DataFrame, column: str = "n_tokens", tokenizer: str = "byte_bpe_50k.json", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """docs with a further column: the tokens of each whole text; docs must not have it yet."""
+    if column in docs.columns:
+        raise ValueError(f"there is a column {column} already")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
+            tokens = pa.array(counted(texts, tokenizer, chunk, overlap)[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, tokens], [*batch.schema.names, column])
+
+    return docs.mapInArrow(add, StructType([*docs.schema.fields, StructField(column, LongType())]))
+
+
 def token_counts(
     docs: DataFrame,
     tokenizer: str = "byte_bpe_50k.json",

@@ -36,3 +36,19 @@ def test_rows(spark, coder):
     assert tc.token_counts(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         tc.token_counts(df, chunk=10, overlap=9)
+
+
+def test_counts_beside_the_rows(spark):
+    rows = [(1, "one two", 5), (None, None, 6), (2, "x " * 30_000, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more int")
+    got = tc.with_token_counts(df)
+    want = {r.doc_id: r.n_tokens for r in tc.token_counts(df).collect()}
+    assert got.columns == ["doc_id", "text", "more", "n_tokens"]
+    assert {(r.doc_id, r.more): r.n_tokens for r in got.collect()} == {(i, m): want[i] for i, _, m in rows}
+    with pytest.raises(ValueError):
+        tc.with_token_counts(got)
+
+
+def test_other_tokenizers_are_rejected():
+    with pytest.raises(ValueError, match="byte-level"):
+        tc.load("word_bpe_49k.json")
