@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
 #: Rows of a few narrow columns that make a fair partition of a small table.
 PART_ROWS = 50_000
 
+_kept: list[str] = []
+
 
 def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
     """The rows of df, computed once and kept in the shared checkpoint folder.
@@ -56,17 +59,50 @@ def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
         spark.sparkContext.setCheckpointDir(shared_dir(spark).rpartition("/")[0])
     if rows is not None:
         df = df.coalesce(max(4, -(-rows // PART_ROWS)))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        _kept.append(file.get())
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the durable() tables made within it; what is derived of them must have been written by then."""
+    before = len(_kept)
+    yield
+    while len(_kept) > before:
+        remove(spark, _kept.pop())
 
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else df as it is, to be joined by shuffling.
 
-    df should be cheap to count: a durable() result or a small table.
+    df should be cheap to count: a durable() result or a small table.  Its rows
+    are narrow; see if_light() for others.
     """
     return F.broadcast(df) if len(df.select(F.lit(1)).take(rows + 1)) <= rows else df
 
 
+#: Bytes up to which a table with long columns is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def if_light(df: DataFrame, size: Column) -> DataFrame:
+    """df with a broadcast hint if its rows, of `size` bytes each, take at most BROADCAST_BYTES, else df as it is.
+
+    df should be cheap to read, as for if_small().
+    """
+    total = df.agg(F.sum(size.cast("long") + 64)).first()[0]
+    return F.broadcast(df) if (total or 0) <= BROADCAST_BYTES else df
+
+
 def labelled_ids(
     labels: DataFrame, label: str, folds: int, held_out: int, rows: int, balanced: bool = False
 ) -> list[tuple[int, int]]:
