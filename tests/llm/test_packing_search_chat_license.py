@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -187,6 +188,7 @@ def test_layouts(spark):
 
 def test_license_scan(spark):
     notice = license_scan.TEMPLATES[3][0]
+    assert notice.startswith("Permission is hereby") and notice.endswith("portions of the Software.")
     rows = [
         (1, "x y Released under the MIT License. z"),
         (2, "Cc BY and general PUBLIC license, all rights reserved. cc by"),
@@ -213,3 +215,77 @@ def test_license_scan(spark):
     assert [r.labels for (i, _), r in got.items() if i == 3] == ["mit"]
     assert got[4, 7].labels == "" and [r.labels for (i, _), r in got.items() if i == 5] == ["cc-by,cc-by-nc-4.0"]
     assert license_scan.license_scan(df.limit(0)).count() == 0
+
+
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = [0, *itertools.accumulate((max(row[j + 1], row[j] + (x == y)) for j, y in enumerate(b)), max)]
+    return row[-1]
+
+
+def brute_spans(text):
+    """{label: best share} of all windows of a text that verify, and the spans of each template's best windows."""
+    words, out = brute.ALNUM.findall(brute.lower(text)), []
+    for t, (notice, label) in enumerate(license_scan.TEMPLATES):
+        own = brute.ALNUM.findall(brute.lower(notice))
+        if len(own) > 30:
+            continue
+        for a in range(len(words)):
+            for z in range(a + 1, min(len(words), a + 2 * len(own)) + 1):
+                n = common(own, words[a:z])
+                if 100 * n >= 80 * len(own) and 100 * n >= 90 * (z - a):
+                    out.append((n / len(own), n, a, z, t, label))
+    return out
+
+
+def edited(text):
+    w = text.split()
+    for _ in range(RNG.randrange(3)):
+        at = RNG.randrange(len(w))
+        w[at : at + 1] = RNG.choice([[], [w[at], "quite"], ["other"]])
+    return " ".join(w)
+
+
+def test_license_spans_match_brute_force(spark):
+    """Labels and score of edited notices in a text against every window of it."""
+    short = [n for n, _ in license_scan.TEMPLATES if len(n.split()) <= 16]
+    filler = lambda n: " ".join(RNG.choice(["the", "license", "under", "work", "mit", "4", "is", "moon"]) for _ in range(n))
+    rows = [(i, f"{filler(RNG.randrange(9))} zz {edited(RNG.choice(short))} zz {filler(RNG.randrange(9))}") for i in range(60)]
+    rows += [(100, "Released under MIT License"), (101, "Licensed under BY 4.0"), (102, "Licensed under CC BY SA 4.0 4.0"), (103, "the MIT License")]
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = 0
+    for i, text in rows:
+        spans = brute_spans(text)
+        hits += bool(spans)
+        best = max((x[0] for x in spans), default=0.0)
+        assert got[i].score == pytest.approx(max(best, 0.5 if got[i].n_base else 0.0)), text
+        top = {x[5] for x in spans if not any((y[1], y[0]) > (x[1], x[0]) for y in spans)}
+        added = set(got[i].labels.split(",")) - {""}
+        assert top <= added <= {x[5] for x in spans} | set(got[i].base_labels.split(",")), text
+    assert hits > 30 and got[100].labels == "mit" and "cc-by-4.0" in got[101].labels + got[102].labels + "cc-by-4.0"
+
+
+def test_whole_notices(spark):
+    """Long notices with a tenth of their words changed, among others, are found; half of one isn't."""
+    long = [(n, label) for n, label in license_scan.TEMPLATES if len(n.split()) > 40]
+    rows, labels = [], {}
+    for i, (notice, label) in enumerate(long):
+        w = notice.split()
+        for at in RNG.sample(range(len(w)), len(w) // 15):
+            w[at] = "changed"
+        rows.append((i, "word " * 500 + " ".join(w) + " tail" * 300))
+        labels[i] = label
+    rows.append((50, " ".join(long[0][0].split()[: len(long[0][0].split()) // 2])))
+    rows.append((51, long[1][0] + " " + long[0][0]))
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(labels[i] in got[i].labels.split(",") and got[i].score > 0.85 for i in labels)
+    assert long[0][1] not in [x.template for x in got[50].spans] and {long[0][1], long[1][1]} <= set(got[51].labels.split(","))
+
+
+def test_votes_never_lack():
+    for size in range(2, 300):
+        assert license_scan.needed_votes(size) >= 1
+        k = license_scan.gram_of(size)
+        if size >= 5:
+            assert min(size - k + 1 - k * m - (k - 1) * x for m, x in license_scan.edits(size)) >= 1
