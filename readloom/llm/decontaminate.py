@@ -19,15 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm import _text as T
-from readloom.llm._common import durable, if_small
+from readloom.llm._common import BROADCAST_ROWS, durable, if_light, if_small
 
 SPAN, GRAM = 13, 5
 WINDOW = SPAN - GRAM + 1
 BITS = 22
+#: Places of a print, at least, from which it counts as frequent; words of a part of the passages.
+FREQUENT, PART_WORDS = 1000, 1 << 20
 _NO_ID = -(2**63)
 
 
@@ -134,22 +136,26 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in T.slices(batch.column("text")):
             part = batch.slice(lo, hi - lo)
             w = T.words(*T.padded(part.column("text")), T.ALNUM)
-            n_hit, passages = [], []
+            spans, passages = [], []
             for i, hits in enumerate(part.column("hits").to_pylist()):
                 words = w.hashes[w.first[i] : w.first[i + 1]]
-                hit, found = np.zeros(len(words), bool), []
+                own, found = [], []
                 for h in hits:
                     item = np.array(h["words"], np.int64).view(np.uint64)
-                    spans = [s for d in h["diagonals"] for s in runs(words, item, d)]
-                    for a, z in spans:
-                        hit[a:z] = True
-                    if spans:
+                    some = [s for d in h["diagonals"] for s in runs(words, item, d)]
+                    own += some
+                    if some:
                         found.append(h["passage"])
-                n_hit.append(int(hit.sum()))
+                spans.append([{"a": a, "z": z} for a, z in own])
                 passages.append(found)
             yield pa.RecordBatch.from_arrays(
-                [part.column("key"), part.column("text_hash"), pa.array(n_hit, pa.int64()), pa.array(passages, pa.list_(pa.int64()))],
-                ["key", "text_hash", "n_hit", "passages"],
+                [
+                    part.column("key"),
+                    part.column("text_hash"),
+                    pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))),
+                    pa.array(passages, pa.list_(pa.int64())),
+                ],
+                ["key", "text_hash", "spans", "passages"],
             )
 
 
@@ -168,6 +174,35 @@ def _bitmap(prints: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _met(where: DataFrame, prints: DataFrame) -> DataFrame:
+    """where(..., print) joined with prints.
+
+    Beyond a broadcast of all prints, those that are frequent in the documents, of
+    which there are at most BROADCAST_ROWS, are joined apart, so that no task gets
+    all places of one print.
+    """
+    if prints.count() <= BROADCAST_ROWS:
+        return where.join(F.broadcast(prints), "print")
+    where = durable(where)
+    most = max(FREQUENT, where.count() // BROADCAST_ROWS)
+    large = F.broadcast(durable(where.groupBy("print").count().where(F.col("count") > most).select("print")))
+    few, rest = durable(prints.join(large, "print")), where.join(large, "print", "left_anti")
+    return where.join(large, "print", "left_semi").join(if_small(few), "print").unionByName(rest.join(prints, "print"))
+
+
+def _covered(spans: Column) -> Column:
+    """Words in the union of half-open spans."""
+    done = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    return F.aggregate(
+        F.array_sort(spans),
+        done,
+        lambda d, s: F.struct(
+            F.greatest(d["end"], s["z"]).alias("end"), (d["n"] + F.greatest(s["z"] - F.greatest(s["a"], d["end"]), F.lit(0).cast("long"))).alias("n")
+        ),
+        lambda d: d["n"],
+    )
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     return docs.select(
@@ -209,24 +244,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     where = rows.where(F.size("prints") > 0).select("key", "text_hash", F.explode(F.arrays_zip("at", "prints")).alias("p"))
     diagonals = (
-        where.select("key", "text_hash", F.col("p.at").alias("pos"), F.col("p.prints").alias("print"))
-        .join(if_small(prints), "print")
+        _met(where.select("key", "text_hash", F.col("p.at").alias("pos"), F.col("p.prints").alias("print")), prints)
         .groupBy("key", "text_hash", "passage")
         .agg(F.collect_set(F.col("pos") - F.col("at")).alias("diagonals"))
     )
+    # a row holds the hits of a document among one part of the passages, so of at most PART_WORDS words or so
+    words = passages.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0
+    part = F.pmod(F.xxhash64("passage"), F.lit(1 + words // PART_WORDS))
     hits = durable(
-        diagonals.join(if_small(passages, 20_000), "passage")
-        .groupBy("key", "text_hash")
+        diagonals.join(if_light(passages, 8 * F.size("words")), "passage")
+        .groupBy("key", "text_hash", part.alias("part"))
         .agg(F.collect_list(F.struct("passage", "diagonals", "words")).alias("hits"))
     )
-    wanted = if_small(hits.select("key", "text_hash"))
+    wanted = if_small(durable(hits.select("key", "text_hash").distinct()))
     again = keyed.join(wanted, ["key", "text_hash"], "left_semi").select("key", "text_hash", "text")
-    extended = durable(
+    extended = (
         again.dropDuplicates(["key", "text_hash"])
         .join(hits, ["key", "text_hash"])
-        .mapInArrow(_extend, "key long, text_hash long, n_hit long, passages array<long>")
-        .where("n_hit > 0")
+        .select("key", "text_hash", "text", "hits")
+        .mapInArrow(_extend, "key long, text_hash long, spans array<struct<a long, z long>>, passages array<long>")
+        .where(F.size("spans") > 0)
+        .groupBy("key", "text_hash")
+        .agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("passages")).alias("passages"))
     )
+    extended = durable(extended.select("key", "text_hash", _covered(F.col("spans")).alias("n_hit"), "passages"))
     named = (
         extended.select("key", "text_hash", F.explode("passages").alias("passage"))
         .join(if_small(members, 20_000), "passage")

@@ -2,9 +2,11 @@ import random
 
 import brute
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from readloom.llm import _common
 from readloom.llm import decontaminate as d
 
 RNG = random.Random(8)
@@ -15,7 +17,13 @@ def text(n):
     return " ".join(RNG.choice(WORDS) for _ in range(n))
 
 
-def test_matches_brute_force(spark):
+@pytest.mark.parametrize("bounds", [{}, {"BROADCAST_ROWS": 20, "FREQUENT": 3, "PART_WORDS": 40}])
+def test_matches_brute_force(spark, monkeypatch, bounds):
+    """Also beyond the bounds of broadcasts, where frequent prints are joined apart and hits come in parts."""
+    for name, value in bounds.items():
+        monkeypatch.setattr(d, name, value)
+    if bounds:
+        monkeypatch.setattr(_common, "BROADCAST_BYTES", 100)
     items = [(i, text(RNG.choice([13, 14, 20, 40, 60]))) for i in range(12)] + [(50, "alpha beta"), (51, "Gamma"), (52, None), (53, " .!"), (54, "re " * 20), (None, "delta eps zeta eta")]
     items += [(60, items[0][1].upper()), (61, items[1][1])]
     docs = []
