@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,35 +46,53 @@ def end_position(pos: Column, ops: Column) -> Column:
     return pos + F.greatest(reference_length(ops) - 1, F.lit(0))
 
 
+#: Ops that placed() handles at a time; lists are copied as they grow, so this bounds the work an op.
+_CHUNK = 128
+_PLACED = "array<struct<i:int,op:string,len:int,rs:bigint,qs:int,ins_after:int>>"
+
+
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once, also where f uses it in lambdas."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def placed(pos: Column, ops: Column) -> Column:
-    """Each op with its index and where it starts on the reference (rs) and the query (qs); zero lengths are dropped."""
-    def one(o: Column, i: Column) -> Column:
-        before = F.slice(ops, F.lit(1), i)
+    """Each op with its index, where it starts on the reference (rs) and the query (qs), and the bases inserted right after it.
+
+    Zero lengths are dropped.  Insertions are looked for beyond pads, up to any
+    other op.  One pass from the last op to the first, so the work grows in
+    proportion to the ops.
+    """
+    number = lambda x: x.cast("int")
+    step_by = lambda o, kinds: F.when(o["op"].isin(*kinds), o["len"]).otherwise(0)
+
+    def state(i: Column, r: Column, q: Column, t: Column, some: Column, done: Column) -> Column:
         return F.struct(
-            i.alias("i"),
-            o["op"].alias("op"),
-            o["len"].alias("len"),
-            (pos + reference_length(before)).alias("rs"),
-            query_length(before).alias("qs"),
-            insertion_after(ops, i).alias("ins_after"),
+            number(i).alias("i"), r.cast("bigint").alias("r"), number(q).alias("q"), number(t).alias("t"), some.cast(_PLACED).alias("some"), done.cast(f"array<{_PLACED}>").alias("done")
         )
 
-    return F.filter(F.transform(ops, one), lambda o: o["len"] > 0)
-
-
-def insertion_after(ops: Column, i: Column) -> Column:
-    """Inserted bases right after op i: pads are skipped, insertions summed, up to any other op."""
-    rest = F.slice(ops, i + 2, F.greatest(F.size(ops) - i - 1, F.lit(0)))
-    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("go"))
-    return F.aggregate(
-        rest,
-        start,
-        lambda a, o: F.struct(
-            (a["n"] + F.when(a["go"] & (o["op"] == "I"), o["len"]).otherwise(0)).alias("n"),
-            (a["go"] & o["op"].isin("I", "P")).alias("go"),
-        ),
-        lambda a: a["n"],
-    )
+    def one(a: Column, o: Column) -> Column:
+        r, q = a["r"] - step_by(o, REF_OPS), a["q"] - step_by(o, QUERY_OPS)
+        here = F.struct(
+            (a["i"] - 1).alias("i"), o["op"].alias("op"), o["len"].alias("len"), r.alias("rs"), number(q).alias("qs"), a["t"].alias("ins_after")
+        )
+        some = F.when(o["len"] > 0, F.concat(a["some"], F.array(here).cast(_PLACED))).otherwise(a["some"])
+        t = F.when(o["op"] == "I", a["t"] + o["len"]).when(o["op"] == "P", a["t"]).otherwise(0)
+        return state(a["i"] - 1, r, q, t, some, a["done"])
+
+    none = F.array().cast(_PLACED)
+
+    def chunk(a: Column, some: Column) -> Column:
+        begin = state(a["i"], a["r"], a["q"], a["t"], none, a["done"])
+        return F.aggregate(some, begin, one, lambda b: state(b["i"], b["r"], b["q"], b["t"], none, F.concat(b["done"], F.array(b["some"]))))
+
+    def walk(back: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(back) - 1, F.lit(0)), F.lit(_CHUNK))
+        chunks = F.transform(starts, lambda at: F.slice(back, at + 1, F.lit(_CHUNK)))
+        first = state(F.size(back), pos + reference_length(ops), query_length(ops), F.lit(0), none, F.array().cast(f"array<{_PLACED}>"))
+        return F.aggregate(chunks, first, chunk, lambda a: F.reverse(F.flatten(a["done"])))
+
+    return bind(F.reverse(ops), walk)
 
 
 def is_linear(ops: Column) -> Column:
@@ -92,8 +112,8 @@ def trim_trailing(ops: Column) -> Column:
 
 def clip_start(ops: Column, bases: int) -> Column:
     """The first `bases` aligned bases of a leading M as soft clip; unchanged if it has no more than these."""
-    first = F.element_at(ops, 1)
-    fits = (F.size(ops) > 0) & (first["op"] == "M") & (first["len"] > bases)
+    first = F.get(ops, F.lit(0))
+    fits = F.coalesce((first["op"] == "M") & (first["len"] > bases), F.lit(False))
     as_op = lambda n, op: F.struct(n.cast("int").alias("len"), F.lit(op).alias("op"))
     made = F.concat(
         F.array(as_op(F.lit(bases), "S"), as_op(first["len"] - bases, "M")),
@@ -103,14 +123,23 @@ def clip_start(ops: Column, bases: int) -> Column:
 
 
 def codes(ops: Column) -> Column:
-    """Packed 32-bit words len << 4 | code."""
-    return F.transform(ops, lambda o: F.shiftleft(o["len"].cast("long"), 4) + (F.call_function("instr", F.lit(CODES), o["op"]) - 1).cast("long"))
+    """Packed 32-bit words len << 4 | code; reserved ops are named by their code (`9` to `15`)."""
+    code = lambda o: F.when(o.rlike("^[0-9]+$"), o.try_cast("long")).otherwise(F.call_function("instr", F.lit(CODES), o) - 1)
+    return F.transform(ops, lambda o: F.shiftleft(o["len"].cast("long"), 4) + code(o["op"]).cast("long"))
 
 
 def from_codes(words: Column) -> Column:
-    return F.transform(
-        words,
-        lambda w: F.struct(
-            F.shiftrightunsigned(w, 4).cast("int").alias("len"), F.substring(F.lit(CODES), w.bitwiseAND(F.lit(15)).cast("int") + 1, F.lit(1)).alias("op")
-        ),
-    )
+    code = lambda w: w.bitwiseAND(F.lit(15)).cast("int")
+    name = lambda w: F.when(code(w) < len(CODES), F.substring(F.lit(CODES), code(w) + 1, F.lit(1))).otherwise(code(w).cast("string"))
+    return F.transform(words, lambda w: F.struct(F.shiftrightunsigned(w, 4).cast("int").alias("len"), name(w).alias("op")))
+
+
+def exclusive_end(pos: Column, ops: Column) -> Column:
+    """0-based end after the last reference base; pos itself if no reference base is consumed."""
+    return pos + reference_length(ops)
+
+
+def events(ops: Column, kinds: tuple[str, ...]) -> Column:
+    """Number of walk events of these ops: one a base of M, = and X, one an op of the others; zero lengths have none."""
+    one = lambda o: F.when(~o["op"].isin(*kinds), 0).when(o["op"].isin(*BASE_OPS), o["len"]).otherwise((o["len"] > 0).cast("int"))
+    return F.aggregate(ops, F.lit(0), lambda a, o: a + one(o))

@@ -127,12 +127,17 @@ def chebi_code(number: Column) -> Column:
 
 
 def float_text(x: Column) -> Column:
-    """Six significant digits without trailing zeros or exponent; missing as a dot."""
-    magnitude = F.when(x == 0, 0).otherwise(F.floor(F.log10(F.abs(x))).cast("int"))
-    places = F.greatest(F.lit(5) - magnitude, F.lit(0))
-    scaled = F.round(x * F.pow(F.lit(10.0), places)) / F.pow(F.lit(10.0), places)
-    fixed = F.format_string("%.10f", scaled)
-    return F.when(x.isNull() | F.isnan(x), ".").otherwise(F.regexp_replace(F.regexp_replace(fixed, r"0+$", ""), r"\.$", ""))
+    """A single-precision number with six significant digits, without trailing zeros or exponent; missing as a dot.
+
+    Whole parts are written in full; infinity is `inf`.
+    """
+    v = x.cast("float").cast("double")
+    endless = F.abs(v) == float("inf")
+    safe = F.when(F.isnan(v) | endless | (v == 0), F.lit(1.0)).otherwise(v)
+    places = F.greatest(F.lit(5) - F.floor(F.log10(F.abs(safe))).cast("int"), F.lit(0))
+    fixed = F.replace(F.call_function("format_number", safe, places), F.lit(","), F.lit(""))
+    trimmed = F.when(fixed.contains("."), F.regexp_replace(F.regexp_replace(fixed, r"0+$", ""), r"\.$", "")).otherwise(fixed)
+    return F.when(v.isNull() | F.isnan(v), ".").when(endless, F.when(v > 0, "inf").otherwise("-inf")).when(v == 0, "0").otherwise(trimmed)
 
 
 def percent_encode(text: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-_KIND = "map<string,struct<type:string,value:string>>"
+#: Type of a record's tags.
+KIND = "map<string,struct<type:string,value:string>>"
 
 
 def parse(fields: Column) -> Column:
@@ -18,7 +19,7 @@ def parse(fields: Column) -> Column:
         value = F.struct(F.substring(x, 4, 1).alias("type"), F.call_function("substring", x, F.lit(6)).alias("value"))
         return F.when(F.map_contains_key(m, tag), m).otherwise(F.map_concat(m, F.create_map(tag, value)))
 
-    return F.aggregate(ok, F.create_map().cast(_KIND), more)
+    return F.aggregate(ok, F.create_map().cast(KIND), more)
 
 
 def get_int(tags: Column, tag: str) -> Column:
@@ -46,7 +47,8 @@ def get_bytes(tags: Column, tag: str) -> Column:
 def get_array(tags: Column, tag: str) -> Column:
     """The numbers of a B tag as doubles."""
     x = F.try_element_at(tags, F.lit(tag))
-    return F.when(x["type"] == "B", F.transform(F.slice(F.split(x["value"], ","), 2, 1 << 20), lambda v: v.try_cast("double")))
+    parts = F.split(x["value"], ",")
+    return F.when(x["type"] == "B", F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda v: v.try_cast("double")))
 
 
 def put(tags: Column, tag: str, kind: str, value: Column) -> Column:
@@ -54,6 +56,27 @@ def put(tags: Column, tag: str, kind: str, value: Column) -> Column:
     return F.map_concat(remove(tags, tag), F.create_map(F.lit(tag), F.struct(F.lit(kind).alias("type"), value.cast("string").alias("value"))))
 
 
+#: Ranges of the integer kinds of B arrays.
+_RANGES = {"c": (-(2**7), 2**7), "C": (0, 2**8), "s": (-(2**15), 2**15), "S": (0, 2**16), "i": (-(2**31), 2**31), "I": (0, 2**32)}
+
+
+def put_array(tags: Column, tag: str, kind: str, values: Column) -> Column:
+    """The map with a B tag of this element kind (c C s S i I f); an element out of its range raises an error."""
+    if kind == "f":
+        text = F.transform(values.cast("array<float>"), lambda v: v.cast("string"))
+    else:
+        low, high = _RANGES[kind]
+        bad = F.lit(f"{tag}: an element is out of the range of {kind}")
+        text = F.transform(values.cast("array<bigint>"), lambda v: F.when((v >= low) & (v < high), v.cast("string")).otherwise(F.raise_error(bad).cast("string")))
+    return put(tags, tag, "B", F.array_join(F.concat(F.array(F.lit(kind)), text), ","))
+
+
+def put_char(tags: Column, tag: str, value: Column) -> Column:
+    """The map with an A tag: one visible ASCII character, else an error."""
+    fine = F.when(value.rlike("^[!-~]$"), value).otherwise(F.raise_error(F.lit(f"{tag}: not a visible character")).cast("string"))
+    return put(tags, tag, "A", fine)
+
+
 def remove(tags: Column, tag: str) -> Column:
     return F.map_filter(tags, lambda k, _: k != tag)
 

@@ -8,17 +8,38 @@ from pyspark.sql import functions as F
 from readloom.functions import cigar, scalars
 
 
+_FORM = r"^([ACGTacgt])([+-])([A-Za-z]+|[0-9]+)([.?]?)((?:,[0-9]+)*)$"
+
+
+def _wrong(entry: Column) -> Column:
+    """What is wrong with an MM entry; null if nothing."""
+    large = F.exists(F.regexp_extract_all(entry, F.lit("([0-9]+)"), F.lit(1)), lambda n: F.coalesce(n.try_cast("long") > 0xFFFFFFFF, F.lit(True)))
+    return (
+        F.when(entry.rlike(_FORM) & ~large, None)
+        .when(entry.rlike("^[Nn]"), "unsupported base N")
+        .when(~entry.rlike("^[ACGTacgt]"), "bad base")
+        .when(~entry.rlike("^.[+-]"), "bad strand")
+        .when(~entry.rlike("^..([A-Za-z]+|[0-9]+)([.?,]|$)"), "bad modification code")
+        .otherwise("bad delta or number")
+    )
+
+
 def entries(mm: Column) -> Column:
-    """array<struct<base, strand, codes, mode, deltas>> of an MM text; malformed entries raise an error."""
-    form = r"^([ACGTU])([+-])([a-z]+|[0-9]+)([.?]?)((?:,[0-9]+)*)$"
-    parts = F.filter(F.split(mm, ";"), lambda x: x != "")
+    """array<struct<base, strand, codes, mode, deltas>> of an MM text.
+
+    Each entry ends with a semicolon.  Codes are letters or one number; mode is `.`,
+    `?` or empty.  A malformed entry raises an error that says what is wrong.
+    """
+    open_ended = (mm != "") & ~mm.endswith(";")
+    whole = F.when(open_ended, F.raise_error(F.concat(F.lit("bad MM text, no final semicolon: "), mm)).cast("string")).otherwise(mm)
+    parts = F.when(mm == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(whole, ";$", ""), ";"))
 
     def one(x: Column) -> Column:
-        text = F.when(x.rlike(form), x).otherwise(F.raise_error(F.concat(F.lit("bad MM entry "), x)))
-        g = lambda n: F.regexp_extract(text, form, n)
+        text = F.when(_wrong(x).isNull(), x).otherwise(F.raise_error(F.concat(F.lit("bad MM entry, "), _wrong(x), F.lit(": "), x)))
+        g = lambda n: F.regexp_extract(text, _FORM, n)
         codes = F.when(g(3).rlike("^[0-9]+$"), F.array(scalars.chebi_code(g(3).cast("long")))).otherwise(F.split(g(3), ""))
-        deltas = F.transform(F.filter(F.split(g(5), ","), lambda d: d != ""), lambda d: d.cast("int"))
-        return F.struct(g(1).alias("base"), g(2).alias("strand"), codes.alias("codes"), g(4).alias("mode"), deltas.alias("deltas"))
+        deltas = F.transform(F.filter(F.split(g(5), ","), lambda d: d != ""), lambda d: d.cast("long"))
+        return F.struct(F.upper(g(1)).alias("base"), g(2).alias("strand"), codes.alias("codes"), g(4).alias("mode"), deltas.alias("deltas"))
 
     return F.transform(parts, one)
 
@@ -29,13 +50,14 @@ def calls(reads: DataFrame) -> DataFrame:
     Deltas skip occurrences of the base in the original orientation: on reverse
     reads complements are counted from the end.  ml holds one probability for
     each delta and code; a different number raises an error.  Deltas beyond the
-    last such base have no call, and reads without MM have none.
+    last such base have no call, and reads without MM have none; without deltas
+    there need be no ml.
     """
     reverse = scalars.has(F.col("flag"), scalars.REVERSE)
     each = reads.where("mm is not null").select("read_id", "seq", "ml", reverse.alias("reverse"), entries(F.col("mm")).alias("es"))
     size = lambda e: F.size(e["deltas"]) * F.size(e["codes"])
     wanted = F.aggregate("es", F.lit(0), lambda a, e: a + size(e))
-    ml = F.when(wanted == F.size("ml"), F.col("ml")).otherwise(F.raise_error(F.lit("MM and ML differ in length")).cast("array<int>"))
+    ml = F.when(wanted == F.coalesce(F.size("ml"), F.lit(0)), F.coalesce("ml", F.array().cast("array<int>"))).otherwise(F.raise_error(F.lit("MM and ML differ in length")).cast("array<int>"))
     before = lambda i: F.aggregate(F.slice("es", F.lit(1), i), F.lit(0), lambda a, e: a + size(e))
     listed = F.transform("es", lambda e, i: F.struct(e.alias("e"), before(i).alias("at")))
     rows = each.withColumns({"ml": ml, "l": listed}).select("read_id", "seq", "ml", "reverse", F.explode("l").alias("x")).select("read_id", "seq", "ml", "reverse", "x.e", "x.at")
@@ -43,7 +65,8 @@ def calls(reads: DataFrame) -> DataFrame:
     places = F.filter(F.sequence(F.lit(0), F.length("seq") - 1), lambda q: F.substring(F.col("seq"), q + 1, F.lit(1)) == F.col("letter"))
     rows = rows.withColumn("letter", letter).where(F.length("seq") > 0).withColumn("places", places)
     rows = rows.withColumn("places", F.when(F.col("reverse"), F.reverse("places")).otherwise(F.col("places")))
-    nth = F.transform("e.deltas", lambda d, i: F.aggregate(F.slice("e.deltas", F.lit(1), i + 1), F.lit(0), lambda a, x: a + x + 1) - 1)
+    nth = F.transform("e.deltas", lambda d, i: F.aggregate(F.slice("e.deltas", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, x: a + x + 1) - 1)
+    nth = F.transform(nth, lambda n: F.least(n, F.lit(2**31 - 1)).cast("int"))
     hits = F.flatten(
         F.transform(
             nth,
@@ -79,5 +102,5 @@ def frequencies(placed: DataFrame, least: int = 128) -> DataFrame:
 def is_unmodified(found: Column, entries_: Column, qpos: Column, base: Column) -> Column:
     """False if qpos has a call, true if an entry of `.` mode covers the base, else null."""
     called = F.exists(found, lambda c: c["qpos"] == qpos)
-    implied = F.exists(entries_, lambda e: (e["base"] == base) & (e["mode"] != "?"))
+    implied = F.exists(entries_, lambda e: (e["base"] == base) & (e["mode"] == "."))
     return F.when(called, False).when(implied, True)

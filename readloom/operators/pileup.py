@@ -1,8 +1,10 @@
 """Column-wise pileup: reads become rows of (contig, pos, read) and columns are groups of these.
 
-Ops are placed within each read's row, clipped to the region and exploded to
-positions; only the final group-by shuffles.  Where depth alone is asked for,
-depth_sweep() needs two events an op instead of a row a base.
+Ops are placed within each read's row and clipped to the region; each takes its
+own slice of bases and qualities along before it is exploded to positions, so the
+work grows in proportion to the bases.  Only the final group-by shuffles.  Where
+depth alone is asked for, depth_sweep() needs two events an op instead of a row a
+base.
 """
 
 from __future__ import annotations
@@ -21,42 +23,66 @@ def columns(reads: DataFrame, start: int | Column | None = None, end: int | Colu
 
     kind: match, insertion (last base before an insertion), del, complex (last
     base of a deletion or skip before an insertion), skip.  With bases, base and
-    qual of matches and insertions (N and 255 for a missing sequence).  start and
-    end clip to an inclusive range before anything is exploded.
+    qual of matches and insertions (N and 255 for a missing sequence), and inserted,
+    the bases put in after them.  start and end clip to an inclusive range before
+    anything is exploded.  Reads flagged unmapped are in no column.
     """
-    extra = [c for c in ("seq", "qual") if bases]
     have = [c for c in carry if c in reads.columns]
-    ops = F.filter(cigar.placed(F.col("pos"), F.col("ops")), lambda o: o["op"].isin("M", "=", "X", "D", "N"))
-    each = reads.select("contig", *have, *extra, F.explode(ops).alias("o"))
-    o = lambda f: F.col(f"o.{f}")
+    if "flag" in reads.columns:
+        reads = reads.where(~scalars.has(F.col("flag"), scalars.UNMAPPED))
     bound = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("long")
-    low = o("rs") if start is None else F.greatest(o("rs"), bound(start))
-    last = o("rs") + o("len") - 1
-    high = last if end is None else F.least(last, bound(end))
-    each = each.withColumns({"low": low, "high": high}).where("low <= high")
-    rows = each.select(
-        "contig", *have, *extra, F.explode(F.sequence("low", "high")).alias("pos"), o("op").alias("op"), o("rs").alias("rs"), o("qs").alias("qs"), o("len").alias("len"), o("ins_after").alias("ins")
-    )
-    at_end = (F.col("pos") == F.col("rs") + F.col("len") - 1) & (F.col("ins") > 0)
-    matched = F.col("op").isin(*cigar.BASE_OPS)
+    low = lambda o: o["rs"] if start is None else F.greatest(o["rs"], bound(start))
+    last = lambda o: o["rs"] + o["len"] - 1
+    high = lambda o: last(o) if end is None else F.least(last(o), bound(end))
+    based = lambda o: o["op"].isin(*cigar.BASE_OPS)
+
+    def piece(o: Column, letters: Column | None) -> Column:
+        fields = [
+            low(o).alias("low"), high(o).alias("high"), last(o).alias("last"), o["op"].alias("op"), o["len"].alias("len"), o["ins_after"].alias("ins"),
+            F.when(based(o), o["qs"] + low(o) - o["rs"]).cast("int").alias("q"),
+        ]
+        if letters is not None:
+            n, at = (high(o) - low(o) + 1).cast("int"), (o["qs"] + low(o) - o["rs"] + 1).cast("int")
+            none = F.size(letters) == 0
+            known = F.when(none, F.array_repeat(F.lit("N"), n)).otherwise(F.slice(letters, at, n))
+            quals = F.when(F.size("qual") == 0, F.array_repeat(F.lit(scalars.NO_QUALITY), n)).otherwise(F.slice("qual", at, n))
+            put = F.array_join(F.slice(letters, at + n, o["ins_after"]), "")
+            fields += [
+                F.when(based(o), known).otherwise(F.array().cast("array<string>")).alias("bases"),
+                F.when(based(o), quals).otherwise(F.array().cast("array<int>")).alias("quals"),
+                F.when(based(o) & (high(o) == last(o)), put).otherwise("").alias("put"),
+            ]
+        return F.struct(*fields)
+
+    def pieces(letters: Column | None) -> Column:
+        covering = lambda o: o["op"].isin(*cigar.REF_OPS) & (low(o) <= high(o))
+        return F.transform(F.filter(cigar.placed(F.col("pos"), F.col("ops")), covering), lambda o: piece(o, letters))
+
+    made = cigar.bind(F.filter(F.split("seq", ""), lambda x: x != ""), pieces) if bases else pieces(None)
+    each = reads.select("contig", *have, F.explode(made).alias("o"))
+    o = lambda f: F.col(f"o.{f}")
+    span = F.sequence(o("low"), o("high"))
+    if bases:
+        rows = each.select("contig", *have, "o", F.explode(F.arrays_zip(span.alias("pos"), o("bases").alias("base"), o("quals").alias("qual"))).alias("b"))
+        rows = rows.select("contig", *have, "o", F.col("b.pos").alias("pos"), F.col("b.base").alias("base"), F.col("b.qual").alias("qual"))
+    else:
+        rows = each.select("contig", *have, "o", F.explode(span).alias("pos"))
+    at_end = (F.col("pos") == o("last")) & (o("ins") > 0)
     kind = (
-        F.when(matched, F.when(at_end, "insertion").otherwise("match"))
+        F.when(based(F.col("o")), F.when(at_end, "insertion").otherwise("match"))
         .when(at_end, "complex")
-        .when(F.col("op") == "D", "del")
+        .when(o("op") == "D", "del")
         .otherwise("skip")
     )
-    qpos = F.when(matched, (F.col("qs") + F.col("pos") - F.col("rs")).cast("int"))
     out = {
         "kind": kind,
-        "qpos": qpos,
-        "del_len": F.when(F.col("op") == "D", F.col("len")),
-        "insert_len": F.when(at_end, F.col("ins")).otherwise(0),
-        "is_refskip": F.col("op") == "N",
+        "qpos": (o("q") + F.col("pos") - o("low")).cast("int"),
+        "del_len": F.when(o("op") == "D", o("len")),
+        "insert_len": F.when(at_end, o("ins")).otherwise(0),
+        "is_refskip": o("op") == "N",
     }
     if bases:
-        missing = F.length("seq") == 0
-        out["base"] = F.when(matched, F.when(missing, "N").otherwise(F.substring("seq", qpos + 1, F.lit(1))))
-        out["qual"] = F.when(matched, F.coalesce(F.get("qual", qpos), F.lit(scalars.NO_QUALITY)))
+        out |= {"base": F.col("base"), "qual": F.col("qual"), "inserted": F.when(at_end, o("put")).otherwise("")}
     return rows.select("contig", "pos", *have, *(v.alias(k) for k, v in out.items()))
 
 
@@ -78,7 +104,9 @@ def depth_sweep(reads: DataFrame, tile: int = 10_000) -> DataFrame:
     Ops are cut at tile borders, so the running sum of +1 and -1 events has a
     bounded partition and no contig lands in one task.
     """
-    ops = F.filter(cigar.placed(F.col("pos"), F.col("ops")), lambda o: o["op"].isin("M", "=", "X", "D", "N"))
+    if "flag" in reads.columns:
+        reads = reads.where(~scalars.has(F.col("flag"), scalars.UNMAPPED))
+    ops = F.filter(cigar.placed(F.col("pos"), F.col("ops")), lambda o: o["op"].isin(*cigar.REF_OPS))
     spans = reads.select("contig", F.explode(ops).alias("o")).select("contig", F.col("o.rs").alias("a"), (F.col("o.rs") + F.col("o.len")).alias("z"))
     cut = spans.select("contig", "a", "z", F.explode(F.sequence(F.floor(F.col("a") / tile), F.floor((F.col("z") - 1) / tile))).alias("tile"))
     low, high = F.greatest("a", F.col("tile") * tile), F.least("z", (F.col("tile") + 1) * tile)
@@ -95,15 +123,35 @@ def truncated(cols: DataFrame, most: int) -> DataFrame:
     return cols.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= most).drop("nth")
 
 
-def mate_deduplicated(cols: DataFrame) -> DataFrame:
-    """Of the first two rows of a qname at a position one stays: the one with a base, else first in template."""
+def mate_deduplicated(reads: DataFrame, carry: tuple[str, ...] = CARRIED, bases: bool = True) -> DataFrame:
+    """columns() in which, of the first two rows of a qname at a position, one stays: the one with a base, else first in template.
+
+    Mates are found before anything is exploded: a template's reads can meet only
+    between the largest start and the smallest end of two reads, or anywhere
+    within more than two.  Only positions there are ranked; all others pass.
+    """
+    mapped = reads.where(~scalars.has(F.col("flag"), scalars.UNMAPPED))
+    last = cigar.end_position(F.col("pos"), F.col("ops"))
+    meets = (
+        mapped.withColumn("last", last)
+        .groupBy("contig", "qname")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("a"), F.max("pos").alias("b"), F.min("last").alias("y"), F.max("last").alias("z"))
+        .where("n > 1")
+        .select("contig", "qname", F.when(F.col("n") == 2, F.col("b")).otherwise(F.col("a")).alias("meet_low"), F.when(F.col("n") == 2, F.col("y")).otherwise(F.col("z")).alias("meet_high"))
+        .where("meet_low <= meet_high")
+    )
+    wanted = tuple(dict.fromkeys((*carry, "read_id", "qname", "flag", "meet_low", "meet_high")))
+    cols = columns(mapped.join(meets, ["contig", "qname"], "left"), carry=wanted, bases=bases)
+    inside = F.coalesce((F.col("pos") >= F.col("meet_low")) & (F.col("pos") <= F.col("meet_high")), F.lit(False))
     first = Window.partitionBy("contig", "pos", "qname").orderBy("read_id")
     rank = Window.partitionBy("contig", "pos", "qname", "pair").orderBy(
         F.col("qpos").isNotNull().desc(), scalars.has(F.col("flag"), scalars.FIRST).desc(), "read_id"
     )
     n = F.col("nth")
-    out = cols.withColumn("nth", F.row_number().over(first)).withColumn("pair", F.when(n <= 2, 0).otherwise(n))
-    return out.withColumn("r", F.row_number().over(rank)).where("r = 1").drop("nth", "pair", "r")
+    met = cols.where(inside).withColumn("nth", F.row_number().over(first)).withColumn("pair", F.when(n <= 2, 0).otherwise(n))
+    stays = met.withColumn("r", F.row_number().over(rank)).where("r = 1").select(*cols.columns)
+    extra = [c for c in ("read_id", "qname", "flag", "meet_low", "meet_high") if c not in carry]
+    return cols.where(~inside).unionByName(stays).drop(*extra)
 
 
 def with_reference(rows: DataFrame, reference: DataFrame) -> DataFrame:
@@ -128,20 +176,48 @@ def best_alt(ref: Column) -> Column:
     return F.when((ref != "N") & (top["n"] > 0), F.struct(top["base"].alias("base"), top["n"].alias("n")))
 
 
-def pileup_text(cols: DataFrame) -> DataFrame:
-    """(contig, pos1, depth, bases): one mpileup-like text column, bases in read order.
+def pileup_text(reads: DataFrame, reference_base, start: int | None = None, end: int | None = None, trim: bool = False) -> DataFrame:
+    """(contig, pos1, ref_base, depth, bases, quals): the mpileup lines of all columns, reads in (position, read_id) order.
 
-    Upper case forward, lower case reverse, `*` deletion, `>` or `<` skip, `+n` after insertions.
+    `^` and the mapping quality before a read's first base, `.` and `,` for bases
+    that equal the reference, upper and lower case for others by strand, `+n` and
+    the bases of an insertion, `*` for deletions, `>` and `<` for skips, `$` after a
+    read's last base; qualities as text, `~` where there are none.
+    reference_base(pos) is a Column.  With trim, reads end before deletions and
+    skips that no query base follows.
     """
+    ops = cigar.trim_trailing(F.col("ops")) if trim else F.col("ops")
+    placed = reads.withColumn("ops", ops).withColumns({"first": F.col("pos"), "last": cigar.end_position(F.col("pos"), F.col("ops"))})
+    cols = columns(placed, start, end, carry=("read_id", "flag", "mapq", "first", "last")).withColumn("ref_base", reference_base(F.col("pos")))
     reverse = scalars.has(F.col("flag"), scalars.REVERSE)
+    cased = lambda x: F.when(reverse, F.lower(x)).otherwise(F.upper(x))
+    ascii_of = lambda x: F.chr(F.least(x, F.lit(93)) + 33)
     shown = (
-        F.when(F.col("is_refskip"), F.when(reverse, "<").otherwise(">"))
+        F.when(F.col("kind") == "skip", F.when(reverse, "<").otherwise(">"))
         .when(F.col("qpos").isNull(), "*")
-        .when(F.col("base") == F.col("ref_base"), F.when(reverse, ",").otherwise("."))
-        .otherwise(F.when(reverse, F.lower("base")).otherwise(F.col("base")))
-    )
-    text = F.concat(shown, F.when(F.col("insert_len") > 0, F.concat(F.lit("+"), F.col("insert_len").cast("string"))).otherwise(""))
-    ordered = F.array_sort(F.collect_list(F.struct("read_id", text.alias("t"))))
-    return cols.groupBy("contig", "pos").agg(F.count(F.lit(1)).alias("depth"), F.array_join(F.transform(ordered, lambda x: x["t"]), "").alias("bases")).select(
-        "contig", (F.col("pos") + 1).alias("pos1"), "depth", "bases"
+        .when((F.col("base") == F.col("ref_base")) & (F.col("base") != "N"), F.when(reverse, ",").otherwise("."))
+        .otherwise(cased(F.col("base")))
     )
+    put = F.when(F.col("insert_len") > 0, F.concat(F.lit("+"), F.col("insert_len").cast("string"), cased(F.col("inserted")))).otherwise("")
+    begins = F.when(F.col("pos") == F.col("first"), F.concat(F.lit("^"), ascii_of(F.col("mapq")))).otherwise("")
+    ends = F.when(F.col("pos") == F.col("last"), "$").otherwise("")
+    quality = F.when(F.col("qual").isNull() | (F.col("qual") == scalars.NO_QUALITY), "~").otherwise(ascii_of(F.col("qual")))
+    one = F.struct("first", "read_id", F.concat(begins, shown, put, ends).alias("t"), quality.alias("q"))
+    listed = F.array_sort(F.collect_list(one))
+    joined = lambda f: F.array_join(F.transform("l", lambda x: x[f]), "")
+    groups = cols.groupBy("contig", "pos").agg(F.count(F.lit(1)).alias("depth"), F.first("ref_base").alias("ref_base"), listed.alias("l"))
+    return groups.select("contig", (F.col("pos") + 1).alias("pos1"), "ref_base", "depth", joined("t").alias("bases"), joined("q").alias("quals"))
+
+
+def with_modifications(cols: DataFrame, found: DataFrame) -> DataFrame:
+    """Pileup rows (with read_id and qpos) with mods: array<struct<mod, prob>> of the calls at the base, by code; empty without any."""
+    calls = found.groupBy("read_id", "qpos").agg(F.array_sort(F.collect_list(F.struct("mod", "prob"))).alias("mods"))
+    joined = cols.join(calls, ["read_id", "qpos"], "left")
+    return joined.withColumn("mods", F.coalesce("mods", F.array().cast("array<struct<mod:string,prob:int>>"))).select(*cols.columns, "mods")
+
+
+def span_of(reads: DataFrame) -> DataFrame:
+    """(contig, first, last, positions): the range of columns of each contig, and how many there may be."""
+    mapped = reads.where(~scalars.has(F.col("flag"), scalars.UNMAPPED))
+    by = mapped.groupBy("contig").agg(F.min("pos").alias("first"), F.max(cigar.end_position(F.col("pos"), F.col("ops"))).alias("last"))
+    return by.select("contig", "first", "last", (F.col("last") - F.col("first") + 1).alias("positions"))

@@ -14,49 +14,98 @@ def reference_base(pos: Column) -> Column:
     return F.substring(F.lit("ACGT"), ((pos * 7 + F.floor(pos / 3)) % 4 + 1).cast("int"), F.lit(1))
 
 
+#: CIGAR shapes of derived reads; a negative number is added to the read's length.
+SHAPES = (
+    ((0, "M"),),
+    ((10, "M"), (2, "D"), (-10, "M")),
+    ((10, "M"), (3, "I"), (-13, "M")),
+    ((10, "M"), (50, "N"), (-10, "M")),
+    ((5, "S"), (-5, "M")),
+    ((3, "H"), (4, "S"), (-6, "M"), (2, "S"), (5, "H")),
+    ((8, "="), (1, "X"), (-9, "=")),
+    ((10, "M"), (2, "D"), (2, "I"), (-12, "M")),
+    ((10, "M"), (2, "I"), (2, "D"), (-12, "M")),
+    ((10, "M"), (1, "P"), (2, "I"), (1, "P"), (1, "I"), (-13, "M")),
+    ((10, "M"), (30, "N"), (1, "I"), (-11, "M")),
+    ((-4, "M"), (2, "D"), (4, "S")),
+    ((2, "D"), (0, "M"), (3, "D")),
+    ((6, "="), (2, "X"), (1, "I"), (-12, "M"), (3, "S")),
+    (),
+    ((0, "M"),),
+)
+#: The shape of unmapped reads, and that of reads without a sequence.
+UNMAPPED_SHAPE, BARE_SHAPE = 14, 15
+
+
 def derived_reads(lineitem: DataFrame, sequence: bool = True) -> DataFrame:
     """One alignment for each row of lineitem, by integer arithmetic.
 
-    Columns: read_id, qname, contig, pos, flag, mapq, ops, qlen, next_pos and, with
-    sequence, seq and qual.  Deterministic, so other engines can derive the same.
+    Columns: read_id, qname, contig, pos, flag, mapq, ops, qlen, and with sequence
+    seq and qual.  Deterministic, so other engines can derive the same.  The shapes
+    hold clips, pads, skips, =, X, deletions at the ends and before insertions,
+    unmapped reads without a CIGAR and reads without a sequence; flags mark
+    secondary, supplementary, duplicate and failed reads; some reads have no
+    qualities, and some bases are N.
     """
     c = F.col
-    op = lambda n, k: F.struct(F.lit(n).cast("int").alias("len") if isinstance(n, int) else n.cast("int").alias("len"), F.lit(k).alias("op"))
-    k, qlen = c("l_linenumber") % 4, (F.lit(20) + F.floor("l_quantity")).cast("int")
+    qlen = (F.lit(20) + F.floor("l_quantity")).cast("int")
+    k = ((c("l_orderkey") + c("l_linenumber")) % len(SHAPES)).cast("int")
+    bit = lambda when, b: F.when(when, b).otherwise(0)
+    flag = (
+        bit(c("l_linestatus") == "F", scalars.REVERSE)
+        + scalars.PAIRED
+        + F.when(c("l_linenumber") % 2 == 1, scalars.FIRST).otherwise(scalars.SECOND)
+        + bit(c("l_returnflag") == "R", scalars.DUPLICATE)
+        + bit(c("l_partkey") % 17 == 0, scalars.SECONDARY)
+        + bit(c("l_partkey") % 19 == 0, scalars.SUPPLEMENTARY)
+        + bit(c("l_suppkey") % 23 == 0, scalars.QC_FAIL)
+        + bit(c("l_partkey") % 5 == 0, scalars.MATE_REVERSE)
+        + bit(k == UNMAPPED_SHAPE, scalars.UNMAPPED)
+    )
     reads = lineitem.select(
-        (((c("l_orderkey") * 8 + c("l_linenumber")) * 4096 + c("l_partkey") % 4096) * 1024 + c("l_suppkey") % 1024).alias("read_id"),
+        ((((c("l_orderkey") * 8 + c("l_linenumber")) * 1024 + c("l_partkey") % 1024) * 256 + c("l_suppkey") % 256) * 64 + F.floor("l_quantity")).alias("read_id"),
         c("l_orderkey").cast("string").alias("qname"),
         F.concat(F.lit("chr"), (c("l_suppkey") % 3 + 1).cast("string")).alias("contig"),
         ((c("l_partkey") * 37 + c("l_orderkey") * 11) % 9000).alias("pos"),
-        (
-            F.when(c("l_linestatus") == "F", scalars.REVERSE).otherwise(0)
-            + scalars.PAIRED
-            + F.when(c("l_linenumber") % 2 == 1, scalars.FIRST).otherwise(scalars.SECOND)
-            + F.when(c("l_returnflag") == "R", scalars.DUPLICATE).otherwise(0)
-        )
-        .cast("int")
-        .alias("flag"),
+        flag.cast("int").alias("flag"),
         (c("l_orderkey") % 61).cast("int").alias("mapq"),
-        k.cast("int").alias("k"),
+        k.alias("k"),
         qlen.alias("qlen"),
+        (c("l_partkey") % 29 == 0).alias("no_quality"),
     )
-    ops = (
-        F.when(c("k") == 0, F.array(op(c("qlen"), "M")))
-        .when(c("k") == 1, F.array(op(10, "M"), op(2, "D"), op(c("qlen") - 10, "M")))
-        .when(c("k") == 2, F.array(op(10, "M"), op(3, "I"), op(c("qlen") - 13, "M")))
-        .otherwise(F.array(op(10, "M"), op(50, "N"), op(c("qlen") - 10, "M")))
-    )
-    reads = reads.withColumn("ops", ops)
+    one = lambda n, op: F.struct((c("qlen") + n if n <= 0 else F.lit(n)).cast("int").alias("len"), F.lit(op).alias("op"))
+    shape = F.lit(None).cast(cigar.OPS)
+    for number, parts in reversed(list(enumerate(SHAPES))):
+        shape = F.when(c("k") == number, F.array(*(one(*x) for x in parts)).cast(cigar.OPS)).otherwise(shape)
+    reads = reads.withColumn("ops", shape)
     if sequence:
-        shift = lambda q: F.when((q < 10) | (c("k") == 0), 0).when(c("k") == 1, 2).when(c("k") == 2, -3).otherwise(50)
-        where = lambda q: c("pos") + q + shift(q)
-        index = lambda q: (where(q) * 7 + F.floor(where(q) / 3) + F.when((c("read_id") + q) % 11 == 0, 1).otherwise(0)) % 4
-        queries = F.sequence(F.lit(0), c("qlen") - 1)
-        reads = reads.withColumn(
-            "seq",
-            F.translate(F.array_join(F.transform(queries, lambda q: index(q).cast("string")), ""), "0123", "ACGT"),
-        ).withColumn("qual", F.transform(queries, lambda q: ((c("read_id") * 7 + q * 3) % 42).cast("int")))
-    return reads.drop("k")
+
+        def letters(o: Column) -> Column:
+            """Base numbers of an op's query bases; 4 is N."""
+
+            def letter(j: Column) -> Column:
+                q, w = o["qs"] + j, o["rs"] + j
+                other = F.when(o["op"] == "X", True).when(o["op"] == "=", False).otherwise((c("read_id") + q) % 11 == 0)
+                unknown = (o["op"] == "M") & ((c("read_id") + q) % 97 == 0)
+                return F.when(unknown, 4).otherwise((w * 7 + F.floor(w / 3) + other.cast("int")) % 4).cast("string")
+
+            return F.array_join(F.transform(F.sequence(F.lit(0), o["len"] - 1), letter), "")
+
+        own = F.filter(cigar.placed(c("pos"), c("ops")), lambda o: o["op"].isin(*cigar.QUERY_OPS))
+        plain = F.struct(F.lit("M").alias("op"), c("qlen").alias("len"), c("pos").alias("rs"), F.lit(0).alias("qs"))
+        numbers = F.when(c("k") == UNMAPPED_SHAPE, letters(plain)).otherwise(F.array_join(F.transform(own, letters), ""))
+        qualities = F.transform(
+            F.sequence(F.lit(0), c("qlen") - 1),
+            lambda q: F.when(c("no_quality"), scalars.NO_QUALITY).otherwise((c("read_id") * 7 + q * 3) % 42).cast("int"),
+        )
+        bare = c("k") == BARE_SHAPE
+        reads = reads.withColumns(
+            {
+                "seq": F.when(bare, "").otherwise(F.translate(numbers, "01234", "ACGTN")),
+                "qual": F.when(bare, F.array().cast("array<int>")).otherwise(qualities),
+            }
+        )
+    return reads.drop("k", "no_quality")
 
 
 def fetch(reads: DataFrame, contig: str, start: int, end: int, keep_unmapped: bool = False) -> DataFrame:
@@ -91,43 +140,104 @@ def sorted_by_position(reads: DataFrame) -> DataFrame:
 
 
 def with_alignment(reads: DataFrame, pos: Column, ops: Column) -> DataFrame:
-    """Another position and CIGAR; the query length must stay that of seq."""
-    fits = cigar.query_length(ops) == F.length("seq")
+    """Another position and CIGAR of at most 65535 ops; the query length must stay that of seq."""
+    fits = (cigar.query_length(ops) == F.length("seq")) & (F.size(ops) <= 65535)
     checked = F.when(fits, ops).otherwise(F.raise_error(F.lit("CIGAR and sequence differ in length")).cast(cigar.OPS))
     return reads.withColumns({"pos": pos, "ops": checked})
 
 
 def realigned(reads: DataFrame, min_match: int) -> DataFrame:
     """A leading match longer than min_match loses that many bases to a soft clip, and the read starts later."""
-    first = F.element_at("ops", 1)
-    moves = (F.size("ops") > 0) & (first["op"] == "M") & (first["len"] > min_match)
+    first = F.get("ops", F.lit(0))
+    moves = F.coalesce((first["op"] == "M") & (first["len"] > min_match), F.lit(False))
     return reads.withColumns(
         {"pos": F.when(moves, F.col("pos") + min_match).otherwise(F.col("pos")), "ops": cigar.clip_start(F.col("ops"), min_match)}
     )
 
 
-def template_lengths(reads: DataFrame) -> DataFrame:
-    """reads with tlen: the span of all reads of a qname on a contig, positive for the leftmost (smallest read_id of equals).
+def with_mate(reads: DataFrame, next_contig: Column, next_pos: Column, tlen: Column) -> DataFrame:
+    """Other mate fields and template length."""
+    return reads.withColumns({"next_contig": next_contig.cast("string"), "next_pos": next_pos.cast("long"), "tlen": tlen.cast("int")})
+
 
-    The spans are a map-side aggregate joined back, so a very frequent qname is
-    never gathered.
+def checked(reads: DataFrame) -> DataFrame:
+    """reads as they can be written: raises an error for a name over 254 bytes, more than 65535 ops, or lengths that don't fit.
+
+    Qualities are as many as bases, or none; a CIGAR's query length is that of the
+    bases, unless the read is unmapped, or either is missing.
     """
-    end = cigar.end_position(F.col("pos"), F.col("ops"))
-    spans = reads.groupBy("qname", "contig").agg(
-        F.min("pos").alias("low"),
-        F.max(end).alias("high"),
-        F.min_by("read_id", F.struct("pos", "read_id")).alias("leftmost"),
-        F.count(F.lit(1)).alias("n"),
+    bases = F.length("seq")
+    wrong = (
+        F.when(F.octet_length("qname") > 254, "the name is too long")
+        .when(F.size("ops") > 65535, "too many CIGAR ops")
+        .when((F.size("qual") > 0) & (F.size("qual") != bases), "qualities and sequence differ in length")
+        .when(
+            ~scalars.has(F.col("flag"), scalars.UNMAPPED) & (F.size("ops") > 0) & (bases > 0) & (cigar.query_length(F.col("ops")) != bases),
+            "CIGAR and sequence differ in length",
+        )
     )
-    size = (F.col("high") - F.col("low") + 1).cast("long")
-    tlen = F.when(F.col("n") == 1, F.lit(0).cast("long")).when(F.col("read_id") == F.col("leftmost"), size).otherwise(-size)
-    return reads.join(spans, ["qname", "contig"]).withColumn("tlen", tlen).drop("low", "high", "leftmost", "n")
+    name = F.when(wrong.isNull(), F.col("qname")).otherwise(F.raise_error(F.concat(wrong, F.lit(": "), F.substring("qname", 1, 254))).cast("string"))
+    return reads.withColumn("qname", name)
+
+
+def with_sequence(reads: DataFrame, seq: Column, qual: Column) -> DataFrame:
+    """Other bases and qualities, checked against each other and the CIGAR."""
+    return checked(reads.withColumns({"seq": seq, "qual": qual}))
+
+
+def template_lengths(reads: DataFrame) -> DataFrame:
+    """reads with tlen: the span of the mapped reads of a qname on a contig, 0 for unmapped reads and single ones.
+
+    The sign belongs to the first read (smallest read_id): positive if it is the
+    leftmost, and either ends before the last or is the only one that begins
+    there; if it spans all and others begin and end with it, positive for the
+    first in template; else negative.  The other reads have the opposite sign.
+    The spans are a map-side aggregate joined back, so a frequent qname is never
+    gathered.
+    """
+    end = cigar.exclusive_end(F.col("pos"), F.col("ops"))
+    mapped = ~scalars.has(F.col("flag"), scalars.UNMAPPED)
+    up, down = F.col("read_id"), -F.col("read_id")
+    spans = (
+        reads.where(mapped)
+        .withColumn("end", end)
+        .groupBy("qname", "contig")
+        .agg(
+            F.min("pos").alias("low"),
+            F.max("end").alias("high"),
+            F.count(F.lit(1)).alias("n"),
+            F.min_by(F.struct("read_id", "pos", "end", "flag"), "read_id").alias("f"),
+            (F.min_by("read_id", F.struct("pos", up.alias("x"))) != F.min_by("read_id", F.struct("pos", down.alias("x")))).alias("left_tie"),
+            (F.max_by("read_id", F.struct("end", up.alias("x"))) != F.max_by("read_id", F.struct("end", down.alias("x")))).alias("right_tie"),
+        )
+        .where("n > 1 and high > low")
+    )
+    leftmost = F.col("f.pos") == F.col("low")
+    sign = (
+        F.when(leftmost & ((F.col("f.end") < F.col("high")) | ~F.col("left_tie")), 1)
+        .when(leftmost & (F.col("f.end") == F.col("high")) & F.col("left_tie") & F.col("right_tie") & scalars.has(F.col("f.flag"), scalars.FIRST), 1)
+        .otherwise(-1)
+    )
+    spans = spans.select("qname", "contig", F.col("f.read_id").alias("first_id"), (sign * (F.col("high") - F.col("low"))).cast("long").alias("own"))
+    tlen = F.when(~mapped | F.col("own").isNull(), 0).when(F.col("read_id") == F.col("first_id"), F.col("own")).otherwise(-F.col("own"))
+    return reads.join(spans, ["qname", "contig"], "left").withColumn("tlen", tlen.cast("long")).drop("first_id", "own")
 
 
 def mates(reads: DataFrame) -> DataFrame:
-    """(qname, first_id, second_id, distance) of each first-in-template read and second-in-template read of a qname and contig."""
-    side = lambda bit, name: reads.where(scalars.has(F.col("flag"), bit)).select(
-        "qname", "contig", F.col("read_id").alias(f"{name}_id"), F.col("pos").alias(f"{name}_pos")
+    """(qname, first_id, second_id, first_contig, second_contig, distance): the pair of primary reads of each template.
+
+    Of several first (or second) in template, the one of the smallest read_id
+    counts; distance is null between contigs.  One aggregate with map-side
+    partials: a qname gives one row, however many reads it has.
+    """
+    primary = ~scalars.has(F.col("flag"), scalars.SECONDARY) & ~scalars.has(F.col("flag"), scalars.SUPPLEMENTARY)
+    side = lambda bit: F.min(F.when(primary & scalars.has(F.col("flag"), bit), F.struct("read_id", "contig", "pos")))
+    both = reads.groupBy("qname").agg(side(scalars.FIRST).alias("a"), side(scalars.SECOND).alias("b")).where("a is not null and b is not null")
+    return both.select(
+        "qname",
+        F.col("a.read_id").alias("first_id"),
+        F.col("b.read_id").alias("second_id"),
+        F.col("a.contig").alias("first_contig"),
+        F.col("b.contig").alias("second_contig"),
+        F.when(F.col("a.contig") == F.col("b.contig"), F.col("b.pos") - F.col("a.pos")).alias("distance"),
     )
-    both = side(scalars.FIRST, "first").join(side(scalars.SECOND, "second"), ["qname", "contig"])
-    return both.select("qname", "first_id", "second_id", (F.col("second_pos") - F.col("first_pos")).alias("distance"))

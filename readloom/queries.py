@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from readloom.functions import cigar, scalars, tags
 from readloom.operators import calls, intervals, mods, pairs, pileup, reads
-from readloom.sources import sam, sequence
+from readloom.plans.layout import scratch_dir
+from readloom.sources import bam, bcf, sam, sequence, vcf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,7 +86,7 @@ def strand_labels(spark: SparkSession, d: str) -> DataFrame:
 def phred_convert(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("l_discount")
     x = scalars.phred(p)
-    return _table(spark, d, "lineitem").where("l_discount > 0").groupBy(scalars.phred_int(x).alias("phred")).agg(
+    return _table(spark, d, "lineitem").groupBy(scalars.phred_int(x).alias("phred")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.min(1 - scalars.probability(p)), 6).alias("least_inverted")
     )
 
@@ -131,7 +132,7 @@ def tlen_mates(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def mate_join(spark: SparkSession, d: str) -> DataFrame:
-    return reads.mates(_reads(spark, d)).groupBy("qname").agg(F.count(F.lit(1)).alias("n"), F.sum("distance").cast("long").alias("distance"))
+    return reads.mates(_reads(spark, d))
 
 
 @query
@@ -153,10 +154,19 @@ def cigar_stats(spark: SparkSession, d: str) -> DataFrame:
         cigar.total(o, ("M",)).alias("matching"),
         cigar.total(o, ("I", "D")).alias("indels"),
         cigar.end_position(F.col("pos"), o).cast("long").alias("end_pos"),
+        cigar.exclusive_end(F.col("pos"), o).cast("long").alias("exclusive_end"),
         cigar.is_linear(o).alias("linear"),
     )
 
 
+@query
+def walk_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of events that walks will have."""
+    o = F.col("ops")
+    each = (cigar.events(o, kinds).cast("long").alias(name) for name, kinds in (("plain", pairs.DEFAULT), ("clips", pairs.CLIPS), ("whole", pairs.FULL)))
+    return _reads(spark, d).select("read_id", *each)
+
+
 @query
 def cigar_round_trip(spark: SparkSession, d: str) -> DataFrame:
     text = cigar.render(F.col("ops"))
@@ -166,7 +176,7 @@ def cigar_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def trailing_trim(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(cigar.render(F.col("ops")), F.when(F.col("read_id") % 3 == 0, "5N2D").when(F.col("read_id") % 3 == 1, "4D3S").otherwise(""))
+    text = F.concat(F.regexp_replace(cigar.render(F.col("ops")), r"^[*]$", ""), F.when(F.col("read_id") % 3 == 0, "5N2D").when(F.col("read_id") % 3 == 1, "4D3S").otherwise("1M"))
     return _reads(spark, d).select("read_id", cigar.render(cigar.trim_trailing(cigar.parse(text))).alias("cigar"))
 
 
@@ -174,7 +184,7 @@ def trailing_trim(spark: SparkSession, d: str) -> DataFrame:
 def position_lookup(spark: SparkSession, d: str) -> DataFrame:
     at = F.col("pos") + 15
     hit = F.get(F.filter(cigar.placed(F.col("pos"), F.col("ops")), lambda o: o["op"].isin(*cigar.REF_OPS) & (o["rs"] <= at) & (at < o["rs"] + o["len"])), F.lit(0))
-    qpos = F.when(hit["op"] == "M", (hit["qs"] + at - hit["rs"]).cast("int"))
+    qpos = F.when(hit["op"].isin(*cigar.BASE_OPS), (hit["qs"] + at - hit["rs"]).cast("int"))
     return _reads(spark, d).select("read_id", hit["op"].alias("op"), F.coalesce(qpos, F.lit(-1)).alias("qpos"))
 
 
@@ -207,13 +217,18 @@ def pileup_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pileup_max_depth(spark: SparkSession, d: str) -> DataFrame:
-    cols = pileup.truncated(pileup.columns(_reads(spark, d), carry=("read_id",), bases=False), 8)
-    return cols.groupBy("contig", "pos").agg(F.count(F.lit(1)).alias("depth"), F.sum("read_id").cast("long").alias("ids"))
+    cols = pileup.truncated(pileup.columns(_reads(spark, d), carry=("read_id", "flag"), bases=False), 8)
+    return cols.groupBy("contig", "pos").agg(F.count(F.lit(1)).alias("depth"), F.sum(F.col("read_id") % 1_000_003).cast("long").alias("ids"))
+
+
+@query
+def column_spans(spark: SparkSession, d: str) -> DataFrame:
+    return pileup.span_of(_reads(spark, d))
 
 
 @query
 def pileup_mate_dedup(spark: SparkSession, d: str) -> DataFrame:
-    cols = pileup.mate_deduplicated(pileup.columns(_reads(spark, d), carry=("read_id", "qname", "flag"), bases=False))
+    cols = pileup.mate_deduplicated(_reads(spark, d), carry=(), bases=False)
     return cols.groupBy("contig", "pos").agg(F.count(F.lit(1)).alias("depth"), F.count("qpos").alias("match_depth"))
 
 
@@ -269,9 +284,14 @@ def column_extras(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pileup_text(spark: SparkSession, d: str) -> DataFrame:
-    r = reads.fetch(_reads(spark, d, True), *REGION)
-    cols = pileup.columns(r, REGION[1], REGION[2], carry=("read_id", "flag"))
-    return pileup.pileup_text(cols.withColumn("ref_base", reads.reference_base(F.col("pos"))))
+    """The mpileup lines of all columns."""
+    return pileup.pileup_text(_reads(spark, d, True), reads.reference_base)
+
+
+@query
+def pileup_text_trimmed(spark: SparkSession, d: str) -> DataFrame:
+    """Depth and bases of all columns with reads that end before trailing deletions."""
+    return pileup.pileup_text(_reads(spark, d, True), reads.reference_base, trim=True).select("contig", "pos1", "depth", "bases")
 
 
 # --- walks ---
@@ -291,24 +311,41 @@ def matches_only(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pairs_with_read(spark: SparkSession, d: str) -> DataFrame:
-    p = pairs.with_read(pairs.aligned_pairs(_reads(spark, d, True), carry=("seq", "qual")))
+    """Bases and qualities of walk events; reads without a sequence or a CIGAR have none."""
+    known = _reads(spark, d, True).where((F.length("seq") > 0) & (F.size("ops") > 0))
+    p = pairs.aligned_pairs(known, pairs.CLIPS, read=True)
     total = F.aggregate("quals", F.lit(0), lambda a, x: a + x)
     return p.where("bases is not null").groupBy("contig", "op", F.substring("bases", 1, 1).alias("base")).agg(F.count(F.lit(1)).alias("n"), F.sum(total).cast("long").alias("quality"))
 
 
-def _mismatches(spark: SparkSession, d: str) -> DataFrame:
-    p = pairs.with_read(pairs.aligned_pairs(_reads(spark, d, True), carry=("seq", "qual")))
-    return pairs.mismatch_counts(p.withColumn("ref_base", reads.reference_base(F.col("rpos"))))
+LETTERS = pairs.by_position(reads.reference_base)
+
+
+@query
+def pairs_with_reference(spark: SparkSession, d: str) -> DataFrame:
+    """Reference bases of aligned and deleted ones, from a reference that ends within the contigs."""
+    known = pairs.by_position(lambda p: F.when(p < 8000, reads.reference_base(p)))
+    p = pairs.aligned_pairs(_reads(spark, d), letters=known)
+    return p.where("op in ('M', '=', 'X', 'D')").groupBy("contig", "op", F.coalesce("ref_bases", F.lit("?")).alias("ref_bases")).agg(F.count(F.lit(1)).alias("n"), F.sum("rpos").cast("long").alias("r"))
 
 
 @query
 def nm_tag(spark: SparkSession, d: str) -> DataFrame:
-    return _mismatches(spark, d)
+    return pairs.mismatch_counts(_reads(spark, d, True), LETTERS)
+
+
+@query
+def nm_of_table(spark: SparkSession, d: str) -> DataFrame:
+    """Mismatches of a region's reads against a table of reference bases that covers a part of it."""
+    r = reads.fetch(_reads(spark, d, True), *REGION)
+    reference = reference_table(spark, "chr1", 900, 1999)
+    found = pairs.mismatch_counts(pairs.with_reference(r, reference), pairs.attached())
+    return found.select("read_id", "nm", "mismatches")
 
 
 @query
 def md_tag(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.md_text(_reads(spark, d, True), reads.reference_base)
+    return pairs.md_text(_reads(spark, d, True), LETTERS).where("md is not null")
 
 
 @query
@@ -327,20 +364,41 @@ def indel_evidence(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def snv_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Aligned bases by agreement with the reference, where both are known."""
+    known = _reads(spark, d, True).where((F.length("seq") > 0) & (F.size("ops") > 0))
+    p = pairs.matches_only(pairs.aligned_pairs(known, read=True, letters=LETTERS)).where("bases <> 'N' and ref_bases <> 'N'")
+    return p.groupBy("contig", "op").agg(F.count_if(F.col("bases") == F.col("ref_bases")).alias("equal"), F.count_if(F.col("bases") != F.col("ref_bases")).alias("different"))
+
+
 # --- intervals and tiling ---
 
 
+def _contigs(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "nation").select(F.col("n_name").alias("contig"), (F.col("n_nationkey") * 7919).cast("long").alias("length"))
+
+
 @query
 def segments_plan(spark: SparkSession, d: str) -> DataFrame:
-    contigs = _table(spark, d, "nation").select(F.col("n_name").alias("contig"), (F.col("n_nationkey") * 7919).cast("long").alias("length"))
-    return intervals.segments(contigs, 10_000, 250)
+    return intervals.segments(_contigs(spark, d), 10_000, 250)
+
+
+@query
+def segments_of_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles of a region text, an open one, a whole contig and an explicit range."""
+    c = _contigs(spark, d)
+    wanted = ("CANADA:1001-20000", "FRANCE:40000", "CHINA", ("JAPAN", 0, 12_344))
+    each = [intervals.segments(c, 4000, 100, w).withColumn("target", F.lit(i)) for i, w in enumerate(wanted)]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
 
 
 @query
 def segmented_pileup(spark: SparkSession, d: str) -> DataFrame:
     contigs = spark.createDataFrame([("chr1", 9200), ("chr2", 9200), ("chr3", 9200)], "contig string, length long")
     tiles = intervals.segments(contigs, 1000, 100)
-    spans = _reads(spark, d).withColumns({"start": F.col("pos"), "end": cigar.end_position(F.col("pos"), F.col("ops"))})
+    mapped = _reads(spark, d).where(~scalars.has(F.col("flag"), scalars.UNMAPPED))
+    spans = mapped.withColumns({"start": F.col("pos"), "end": cigar.end_position(F.col("pos"), F.col("ops"))})
     dealt = intervals.overlap_join(spans, tiles).select(F.col("l_contig").alias("contig"), F.col("l_pos").alias("pos"), F.col("l_ops").alias("ops"), F.col("r_core_start").alias("core_start"), F.col("r_core_end").alias("core_end"))
     cols = pileup.columns(dealt, F.col("core_start"), F.col("core_end"), carry=("core_start", "core_end"), bases=False)
     return cols.groupBy("contig", "pos").agg(F.count(F.lit(1)).alias("depth"))
@@ -355,20 +413,23 @@ def overlap_join(spark: SparkSession, d: str) -> DataFrame:
         (F.col("s_suppkey") * 83 % 9000).alias("start"),
         (F.col("s_suppkey") * 83 % 9000 + F.col("s_suppkey") % 400).alias("end"),
     )
-    return intervals.overlap_join(spans, targets).groupBy(F.col("r_target").alias("target")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_read_id").cast("long").alias("ids"))
+    return intervals.overlap_join(spans, targets).groupBy(F.col("r_target").alias("target")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_read_id") % 1_000_003).cast("long").alias("ids"))
 
 
 @query
 def merge_intervals(spark: SparkSession, d: str) -> DataFrame:
-    spans = _reads(spark, d).where(F.col("mapq") == 7).select("contig", F.col("pos").alias("start"), cigar.end_position(F.col("pos"), F.col("ops")).cast("long").alias("end"))
-    return intervals.merged(spans)
+    """Islands of all reads, spread over a long contig so that they stand apart."""
+    start = F.col("pos") * 97 + F.col("read_id") % 97
+    end = start + (F.col("qlen") * (F.col("mapq") % 7)).cast("long")
+    return intervals.merged(_reads(spark, d).select("contig", start.alias("start"), end.alias("end")), 1 << 12)
 
 
 @query
 def bin_numbers(spark: SparkSession, d: str) -> DataFrame:
     start = F.col("pos") * 977
     b = intervals.reg2bin(start, start + F.col("qlen") * 50)
-    return _reads(spark, d).groupBy(b.alias("bin"), intervals.bin_level(b).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    level = intervals.bin_level(b).cast("int")
+    return _reads(spark, d).groupBy(b.alias("bin"), level.alias("level"), intervals.bin_span(level).alias("span")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -385,9 +446,11 @@ def faidx_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def block_lookup(spark: SparkSession, d: str) -> DataFrame:
-    points = _table(spark, d, "part").select(F.col("p_partkey"), (F.col("p_partkey") * 7919 % 1_000_000).alias("at"))
-    marks = spark.range(0, 1000).select((F.col("id") * 1000 + F.col("id") % 7).alias("mark"), (F.col("id") * 300).alias("value"))
-    return intervals.as_of(points, marks, 1010).select("p_partkey", "at", "mark", "value")
+    """The block of each offset and the offset within it; before the first mark lies block 0."""
+    points = _table(spark, d, "part").select((F.col("p_partkey") * 7919 % 10_000 * 100).alias("at"))
+    marks = spark.range(1, 300).select((F.col("id") * 3000 + F.col("id") % 7 + F.when(F.col("id") > 200, 40_000).otherwise(0)).alias("mark"), (F.col("id") * 300).alias("value"))
+    found = intervals.as_of(points, marks, 2000)
+    return found.select("at", F.coalesce("value", F.lit(0)).alias("block"), (F.col("at") - F.coalesce("mark", F.lit(0))).alias("within"))
 
 
 # --- modifications, tags, alleles, text ---
@@ -400,9 +463,15 @@ def base_mods(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _modified(spark: SparkSession, d: str) -> DataFrame:
-    """Reads with two calls: the first and the third C."""
-    r = _reads(spark, d, True).where(F.col("mapq") >= 30)
-    return r.withColumns({"mm": F.lit("C+m,0,1;"), "ml": F.array((F.col("read_id") % 256).cast("int"), (F.col("read_id") * 3 % 256).cast("int"))})
+    """Reads with modifications of every kind: modes, several codes, codes by number, upper case, without calls, none."""
+    r = _reads(spark, d, True)
+    texts = ("C+m,0,1;", "C+m.,0,1;", "C+m?,0,1;", "C+mh,1;", "C+C,0;", "C+76792.,0;A+a.,0;", "C+m.;")
+    mm, one, two = F.lit(None).cast("string"), (F.col("read_id") % 256).cast("int"), (F.col("read_id") * 3 % 256).cast("int")
+    for n, text in enumerate(texts):
+        mm = F.when(F.col("read_id") % 8 == n, text).otherwise(mm)
+    kind = F.col("read_id") % 8
+    ml = F.when(kind == 4, F.array(one)).when(kind < 6, F.array(one, two))
+    return r.withColumns({"mm": mm, "ml": ml})
 
 
 @query
@@ -434,12 +503,54 @@ def tag_widths(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "orders").groupBy(tags.int_width(x, True).alias("unsigned_first"), tags.int_width(x, False).alias("signed_first")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def array_tags(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    t = tags.put_char(tags.put_array(tags.put_array(F.create_map().cast(tags.KIND), "XS", "s", F.array(-k, k * 2)), "XF", "f", F.array(k / 2)), "XC", F.substring("p_brand", 1, 1))
+    return _table(spark, d, "part").select("p_partkey", F.array_join(tags.render(t), " ").alias("fields"), F.aggregate(tags.get_array(t, "XS"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
 @query
 def allele_kinds(spark: SparkSession, d: str) -> DataFrame:
     ref, alt = F.substring(scalars.bases(F.col("p_name")), F.lit(1), (F.col("p_size") % 3).cast("int")), F.substring(scalars.bases(F.col("p_name")), F.lit(1), (F.col("p_partkey") % 4).cast("int"))
     return _table(spark, d, "part").groupBy(calls.allele_kind(ref, alt).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def allele_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Alleles of every kind: text, reference span and number; null for invalid combinations."""
+    k, base = F.col("p_partkey") % 6, lambda n: F.substring(F.lit("ACGT"), (F.col("p_size") * n % 4 + 1).cast("int"), F.lit(1))
+    more = F.substring(F.lit("TTGCA"), F.lit(1), (F.col("p_size") % 4).cast("int"))
+    a = (
+        F.when(k == 0, calls.reference_allele(base(1)))
+        .when(k == 1, calls.snv(base(1), F.array(base(3))))
+        .when(k == 2, calls.snv(base(1), F.array(base(2), base(3))))
+        .when(k == 3, calls.insertion(base(1), more))
+        .when(k == 4, calls.deletion(base(1), more))
+        .otherwise(calls.complex_alleles(F.concat(base(1), more), F.array(F.lit("<DEL>"), F.lit("T"))))
+    )
+    return _table(spark, d, "part").select("p_partkey", a["ref"].alias("ref"), F.array_join(a["alts"], ",").alias("alts"), calls.reference_span(a).alias("span"), F.when(a.isNotNull(), calls.n_alleles(a)).alias("number"))
+
+
+@query
+def vcf_records(spark: SparkSession, d: str) -> DataFrame:
+    """Body lines with all kinds of INFO, FORMAT and FILTER fields, and a key that is set twice."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    none = F.lit(None)
+    failed = F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 3 == 1, F.array(F.lit("q10"), F.lit("s50")))
+    info = [
+        ("DP", calls.int_value(k)), ("AF", calls.float_value(k / 7)), ("AD", calls.list_value(F.array(k, size))), ("Q", calls.list_value(F.array(k / 4, k / 8), calls.float_value)),
+        ("DB", calls.flag_value(size % 2 == 0)), ("NAME", calls.string_value(F.concat("p_brand", F.lit("=a;b,100%")))), ("OPT", calls.list_value(F.array(F.when(k % 2 == 0, k), size))),
+        ("DP", calls.int_value(F.when(k % 5 == 0, size))),
+    ]
+    allele = lambda m: F.when(k % m == 0, none).otherwise(size % m).cast("int")
+    one = lambda x, p: F.struct(F.array(*x).alias("alleles"), F.array(p).alias("phased"))
+    gt = calls.genotypes(F.array(one((allele(3), allele(5)), size % 2 == 0), one((allele(2), allele(2)), size % 2 == 1)))
+    formats = [("GT", gt), ("DP", F.transform(F.array(k, size.cast("long")), calls.int_value)), ("GQ", F.transform(F.array(k / 3, F.when(k % 4 == 0, k / 9)), calls.float_value))]
+    line = calls.record_line(F.lit("c1"), k, calls.snv(F.lit("A"), F.array(F.lit("C"), F.lit("T"))), F.when(k % 2 == 1, k / 16), failed, info, formats, 2)
+    return _table(spark, d, "part").select("p_partkey", line.alias("line"))
+
+
 @query
 def genotype_texts(spark: SparkSession, d: str) -> DataFrame:
     a = lambda m: F.when(F.col("p_partkey") % m == 0, F.lit(None)).otherwise(F.col("p_size") % m).cast("int")
@@ -453,7 +564,9 @@ def encoded_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def float_texts(spark: SparkSession, d: str) -> DataFrame:
-    x = (F.col("p_partkey") % 1000) / F.lit(8)
+    """Numbers of all sizes, the signs, zero, infinity and missing among them."""
+    k = F.col("p_partkey")
+    x = F.when(k % 50 == 0, None).when(k % 50 == 1, float("inf")).when(k % 50 == 2, float("-inf")).otherwise((k % 1000) / F.lit(8) * F.pow(F.lit(2.0), (k % 60 - 30)) * F.when(k % 3 == 0, -1).otherwise(1))
     return _table(spark, d, "part").select("p_partkey", scalars.float_text(x).alias("text"))
 
 
@@ -463,26 +576,103 @@ def profile_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "lineitem").groupBy("l_returnflag").agg(q.alias("q")).select("l_returnflag", *(F.round(F.get("q", F.lit(i)), 6).alias(n) for i, n in enumerate(("p50", "p90", "p99"))))
 
 
-@query
-def sam_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Reads written as alignment text and parsed again."""
+def _full(spark: SparkSession, d: str) -> DataFrame:
+    """Reads with all columns that files hold."""
     r = _reads(spark, d, True)
-    none = F.lit(None).cast("string")
-    full = r.withColumns(
-        {
-            "next_contig": none,
-            "next_pos": F.lit(-1).cast("long"),
-            "tlen": F.lit(0),
-            "aux": tags.parse(F.array(F.concat(F.lit("XI:i:"), F.col("read_id").cast("string")), F.lit("RG:Z:one"))),
-        }
-    )
-    back = sam.records(sam.lines(full))
+    more = {"XI": ("i", F.col("read_id") % 100_000), "RG": ("Z", F.lit("one")), "XF": ("f", (F.col("read_id") % 8) / 2)}
+    aux = F.create_map().cast(tags.KIND)
+    for tag, (kind, value) in more.items():
+        aux = tags.put(aux, tag, kind, value)
+    aux = tags.put_array(aux, "XB", "S", F.array(F.col("read_id") % 1000, F.lit(7)))
+    first = reads.template_lengths(r)
+    return reads.with_mate(first, F.when(F.col("mapq") % 2 == 0, F.col("contig")), F.when(F.col("mapq") % 2 == 0, F.col("pos") + 7).otherwise(-1), F.col("tlen")).withColumn("aux", aux)
+
+
+def _shown(back: DataFrame) -> DataFrame:
+    """What came back of _full()."""
+    t = F.col("aux")
     return back.select(
-        tags.get_int(F.col("aux"), "XI").alias("read_id"), "qname", "flag", "contig", "pos", "mapq", cigar.render(F.col("ops")).alias("cigar"),
-        F.length("seq").alias("seq_len"), F.aggregate("qual", F.lit(0), lambda a, q: a + q).alias("quality"),
+        "qname", "flag", "contig", "pos", "mapq", cigar.render(F.col("ops")).alias("cigar"), "next_pos", "tlen", "seq", F.aggregate("qual", F.lit(0), lambda a, q: a + q).alias("quality"),
+        tags.get_int(t, "XI").alias("xi"), tags.get_text(t, "RG").alias("rg"), tags.get_float(t, "XF").alias("xf"), F.element_at(tags.get_array(t, "XB"), 1).alias("xb"),
     )
 
 
+@query
+def sam_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Reads written as alignment text and parsed again; unmapped ones are skipped."""
+    return _shown(sam.records(sam.lines(_full(spark, d))))
+
+
+CONTIGS = [("chr1", 10_000), ("chr2", 10_000), ("chr3", 10_000)]
+
+
+def _bam(spark: SparkSession, d: str) -> str:
+    path = scratch_dir(spark)
+    spark.dataSource.register(bam.BamSource)
+    tid = lambda c: (F.substring(c, 4, 1).cast("int") - 1)
+    rows = _full(spark, d).withColumns({"tid": tid("contig"), "next_tid": F.coalesce(tid("next_contig"), F.lit(-1))})
+    ordered = rows.select(*spark.createDataFrame([], bam.SCHEMA).columns).repartitionByRange(4, "tid", "pos").sortWithinPartitions("tid", "pos")
+    ordered.write.format("bam").option("contigs", ",".join(f"{n}:{k}" for n, k in CONTIGS)).mode("append").save(path)
+    return path
+
+
+@query
+def bam_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Reads written as binary alignments with their indexes and read again, unmapped ones as well."""
+    return _shown(spark.read.format("bam").option("keep_unmapped", "true").load(_bam(spark, d)))
+
+
+@query
+def bam_region(spark: SparkSession, d: str) -> DataFrame:
+    """A region of binary alignments, by index and pushed filters."""
+    rows = spark.read.format("bam").option("region", "chr1:1001-2001").load(_bam(spark, d))
+    return _shown(rows.where("mapq >= 30")).select("qname", "flag", "contig", "pos", "cigar")
+
+
+@query
+def sam_gz_region(spark: SparkSession, d: str) -> DataFrame:
+    """A region of block-compressed alignment text, by its index."""
+    path = scratch_dir(spark)
+    sam.write_indexed(_full(spark, d).where("contig is not null"), CONTIGS, path)
+    return _shown(sam.read_region(spark, path, "chr2:3001-4001")).select("qname", "flag", "contig", "pos", "cigar", "seq")
+
+
+@query
+def vcf_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Calls written as block-compressed variant text with its index, and read again."""
+    path = scratch_dir(spark)
+    found = calls.snv_calls(_counts(spark, d)).withColumn("af", F.round(F.col("af"), 4))
+    header = vcf.Header().info("DP", "1", "Integer", "depth").info("AF", "A", "Float", "fraction").format("GT", "1", "String", "genotype").sample("s")
+    for name, length in CONTIGS:
+        header.contig(name, length)
+    bcf.write(calls.vcf_line(found), header, path, binary=False)
+    back = vcf.read(spark, f"{path}/*.vcf.gz")
+    return back.select("contig", "pos1", "ref", F.array_join("alts", ",").alias("alt"), F.col("info")["DP"].cast("long").alias("depth"), F.element_at("samples", 1).alias("gt"))
+
+
+@query
+def fasta_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences written as FASTA lines, indexed, and fetched by index and by tiles."""
+    path = scratch_dir(spark)
+    name = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    bases = F.array_join(F.transform(F.sequence(F.lit(1), F.col("s_suppkey") % 200 + 1), lambda p: reads.reference_base(p + F.col("s_suppkey"))), "")
+    own = _table(spark, d, "supplier").select(name.alias("name"), bases.alias("seq"))
+    sequence.write_fasta(own, path, 60)
+    tiles = sequence.read_fasta(spark, path, 50)
+    return tiles.groupBy(F.col("contig").alias("name")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+
+
+@query
+def fastq_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Reads written as FASTQ, read, and made unmapped records."""
+    path = scratch_dir(spark)
+    r = _reads(spark, d, True).where(F.length("seq") > 0).withColumn("read", F.when(scalars.has(F.col("flag"), scalars.FIRST), 1).otherwise(2))
+    comment = F.concat(F.col("read").cast("string"), F.lit(":"), F.when(F.col("mapq") < 5, "Y").otherwise("N"), F.lit(":0:ACGT"))
+    sequence.write_fastq(r.select(F.concat(F.lit("r"), F.col("read_id").cast("string")).alias("name"), comment.alias("comment"), "seq", F.transform("qual", lambda q: F.least(q, F.lit(93))).alias("qual")), path)
+    back = sequence.unmapped_records(sequence.read_fastq(spark, path))
+    return back.select("qname", "flag", "seq", F.aggregate("qual", F.lit(0), lambda a, q: a + q).alias("quality"), "barcode")
+
+
 @query
 def reference_fetch(spark: SparkSession, d: str) -> DataFrame:
     """Bases of half-open ranges from tiles of a sequence, one range a supplier."""
@@ -500,16 +690,31 @@ def walk_soft_clips(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("contig", "op").agg(F.count(F.lit(1)).alias("n"), F.sum("len").cast("long").alias("bases"))
 
 
+@query
+def walk_everything(spark: SparkSession, d: str) -> DataFrame:
+    p = pairs.aligned_pairs(_reads(spark, d), pairs.FULL)
+    return p.groupBy("contig", "op").agg(F.count(F.lit(1)).alias("n"), F.sum("len").cast("long").alias("bases"), F.sum("qpos").cast("long").alias("q"), F.sum("rpos").cast("long").alias("r"))
+
+
 @query
 def unmodified_calls(spark: SparkSession, d: str) -> DataFrame:
     """Whether the sixth base of each read is known to be unmodified."""
-    r = _modified(spark, d)
+    r = _modified(spark, d).where("mm is not null and length(seq) > 0")
     found = mods.calls(r).groupBy("read_id").agg(F.collect_set(F.struct("qpos")).alias("found"))
     known = mods.is_unmodified(F.coalesce("found", F.array().cast("array<struct<qpos:int>>")), mods.entries(F.col("mm")), F.lit(5), F.substring("seq", 6, 1))
-    out = r.select("read_id", "seq", "mm").dropDuplicates(["read_id"]).join(found, "read_id", "left")
+    out = r.select("read_id", "seq", "mm").join(found, "read_id", "left")
     return out.groupBy(F.substring("seq", 6, 1).alias("base"), F.coalesce(known.cast("string"), F.lit("unknown")).alias("unmodified")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def modified_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Modification calls at the rows of the pileup."""
+    r = _modified(spark, d)
+    cols = pileup.with_modifications(pileup.columns(r, carry=("read_id", "flag"), bases=False), mods.calls(r))
+    each = cols.select("contig", "pos", F.explode("mods").alias("m"))
+    return each.groupBy("contig", "pos", F.col("m.mod").alias("mod")).agg(F.count(F.lit(1)).alias("n"), F.sum("m.prob").cast("long").alias("prob"))
+
+
 @query
 def aligned_fraction(spark: SparkSession, d: str) -> DataFrame:
     x = cigar.total(F.col("ops"), ("M",)) / F.col("qlen")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import struct
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from readloom.sources import bgzf
+from readloom.sources import bgzf, parts
 from readloom.sources.indexes import BinIndex
 from readloom.sources.vcf import Header
 
@@ -122,7 +122,7 @@ def record(line: str, names: Dictionary, n_samples: int) -> bytes:
     return struct.pack("<II", len(shared), len(own)) + shared + own
 
 
-def _write_part(rows: Iterator, header: Header, path: str, binary: bool) -> None:
+def _write_part(rows: Iterator, header: Header, path: str, index_path: str, binary: bool) -> None:
     names, index = Dictionary(header), BinIndex()
     top = "\n".join(header.lines()) + "\n"
     with open(path, "wb") as f:
@@ -135,29 +135,15 @@ def _write_part(rows: Iterator, header: Header, path: str, binary: bool) -> None
             start = row.pos1 - 1
             index.add(names.contigs[row.contig], start, start + max(len(row.line.split("\t", 4)[3]), 1), a, w.offset)
         w.close()
-    with open(path + (".csi" if binary else ".tbi"), "wb") as f:
+    with open(index_path, "wb") as f:
         f.write(index.encoded_csi() if binary else index.encoded_tabix(list(header.contigs)))
 
 
 def write(lines: DataFrame, header: Header, path: str, binary: bool = True) -> None:
     """Sorted part files of lines(contig, pos1, line) under a path that all executors mount: BCF with CSI, or VCF with tabix indexes."""
-    order = {c: i for i, c in enumerate(header.contigs)}
-    os.makedirs(path)
-
-    def part(rows: Iterator) -> None:
-        from pyspark import TaskContext
-
-        context = TaskContext.get()
-        name = os.path.join(path, f"part-{context.partitionId():05d}" + (".bcf" if binary else ".vcf.gz"))
-        own = os.path.join(path, f".{context.taskAttemptId()}")
-        _write_part(rows, header, own, binary)
-        os.replace(own + (".csi" if binary else ".tbi"), name + (".csi" if binary else ".tbi"))
-        os.replace(own, name)
-
-    from pyspark.sql import functions as F
-
-    rank = F.create_map(*(F.lit(x) for c, i in order.items() for x in (c, i)))
+    rank = F.create_map(*(F.lit(x) for i, c in enumerate(header.contigs) for x in (c, i)))
     known = F.try_element_at(rank, F.col("contig"))
     known = F.when(known.isNotNull(), known).otherwise(F.raise_error(F.concat(F.lit("no contig "), "contig")).cast("int"))
     sorted_ = lines.withColumn("rank", known).repartitionByRange("rank", "pos1").sortWithinPartitions("rank", "pos1", "line")
-    sorted_.select("contig", "pos1", "line").foreachPartition(part)
+    suffix, index = (".bcf", ".csi") if binary else (".vcf.gz", ".tbi")
+    parts.write(sorted_.select("contig", "pos1", "line"), path, suffix, index, lambda rows, file, at: _write_part(rows, header, file, at, binary))

@@ -12,6 +12,7 @@ import bz2
 import hashlib
 import lzma
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -21,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from readloom.functions.scalars import FIRST, MATE_REVERSE, MATE_UNMAPPED, REVERSE, UNMAPPED, parse_region
-from readloom.sources import codecs
+from readloom.sources import codecs, indexes
 from readloom.sources.bam import _ONLY_BASES, SCHEMA, _tags
 from readloom.sources.bgzf import FormatError
 from readloom.sources.sam import contigs as contigs_of
@@ -379,6 +380,7 @@ class Record:
     next_pos: int = -1
     tlen: int = 0
     aux: bytes = b""
+    group: int = -1
     mate: int | None = None
     detached: bool = False
 
@@ -452,7 +454,7 @@ def _record(c: Compression, s: Streams, tid: int, before: int, reference: Callab
     rec.tid = get["RI"].integer(s) if tid == -2 else tid
     length, ap = get["RL"].integer(s), get["AP"].integer(s)
     rec.pos = before + ap if c.deltas else ap - 1
-    get["RG"].integer(s)
+    group = get["RG"].integer(s)
     if c.names:
         rec.qname = get["RN"].array(s).decode()
     rec.detached = bool(how & 2)
@@ -466,6 +468,7 @@ def _record(c: Compression, s: Streams, tid: int, before: int, reference: Callab
         rec.mate = get["NF"].integer(s)
     wanted = c.tag_lists[get["TL"].integer(s)] if c.tag_lists else []
     rec.aux = b"".join(tag.encode() + kind.encode() + c.tags[number].array(s) for tag, kind, number in wanted)
+    rec.group = group
     if rec.flag & UNMAPPED:
         if not how & 8:
             rec.seq = get["BA"].bytes(s, length).decode("latin-1").upper().translate(_ONLY_BASES)
@@ -494,13 +497,20 @@ def resolve_mates(records: list[Record]) -> None:
         group = [records[k] for k in chain]
         one = len({r.tid for r in group}) == 1 and not any(r.flag & UNMAPPED for r in group)
         low, high = min(r.pos for r in group), max(r.end for r in group)
-        starts = [r for r in group if r.pos == low]
-        first = starts[0] if len(starts) == 1 else next((r for r in starts if r.flag & FIRST), starts[0])
+        # the sign belongs to the chain's first record
+        first, ends = group[0], [r.end for r in group]
+        tied = sum(r.pos == low for r in group) > 1
+        if first.pos == low and (first.end < high or not tied):
+            sign = 1
+        elif first.pos == low and tied and ends.count(high) > 1 and first.flag & FIRST:
+            sign = 1
+        else:
+            sign = -1
         for k, r in enumerate(group):
             mate = group[(k + 1) % len(group)]
             r.next_tid, r.next_pos = mate.tid, mate.pos
             r.flag |= (MATE_REVERSE if mate.flag & REVERSE else 0) | (MATE_UNMAPPED if mate.flag & UNMAPPED else 0)
-            r.tlen = 0 if not one else high - low + 1 if r is first else low - high - 1
+            r.tlen = 0 if not one else (high - low + 1) * (sign if r is first else -sign)
             r.qname = r.qname or group[0].qname
 
 
@@ -576,6 +586,7 @@ class CramReader(DataSourceReader):
         text = data[4 : 4 + struct.unpack("<i", data[:4])[0]].decode()
         self.names = [n for _, n, _ in contigs_of(text.splitlines())]
         self.lengths = [k for _, _, k in contigs_of(text.splitlines())]
+        self.groups = [m[1] for x in text.splitlines() if x.startswith("@RG") and (m := re.search(r"\tID:([^\t]+)", x))]
         self.range = None
         if self.region:
             wanted = parse_region(self.region)
@@ -584,14 +595,36 @@ class CramReader(DataSourceReader):
 
     @staticmethod
     def _container(f, at: int) -> tuple[Container, int]:
-        f.seek(at)
-        c = Container.parse(f.read(4096))
-        return c, at + c.header_size + c.length
+        """The container at an offset and where the next begins; its header may have any length."""
+        size = 4096
+        while True:
+            f.seek(at)
+            data = f.read(size)
+            try:
+                c = Container.parse(data)
+                return c, at + c.header_size + c.length
+            except FormatError as e:
+                if len(data) < size or "cut off" not in str(e):
+                    raise
+                size *= 8
+
+    def _indexed(self) -> list[int] | None:
+        """Offsets of containers that may hold reads of the region (or any), by the file's index; None without one."""
+        name = self.path + ".crai"
+        if not os.path.exists(name):
+            return None
+        with open(name, "rb") as f:
+            entries = indexes.parse_crai(f.read())
+        wanted = entries if self.range is None else indexes.query_crai(entries, *self.range)
+        return sorted({e.container for e in wanted if self.keep or e.tid != -1})
 
     def partitions(self) -> list[Part]:
+        """One for each container; with an index only the wanted containers' headers are read."""
         out, at, size = [], self.begin, os.path.getsize(self.path)
+        known = self._indexed()
         with open(self.path, "rb") as f:
-            while at < size:
+            while at < size if known is None else known:
+                at = at if known is None else known.pop(0)
                 c, following = self._container(f, at)
                 if not c.is_end and (self.range is None or c.overlaps(*self.range)):
                     out.append(Part(self.path, at + c.header_size, c.length))
@@ -614,7 +647,10 @@ class CramReader(DataSourceReader):
                     continue
                 contig = self.names[x.tid] if x.tid >= 0 else None
                 ops = [(n, op) for n, op in x.ops]
-                yield x.qname, x.flag, x.tid, contig, x.pos, x.mapq, ops, x.seq, x.qual, x.next_tid, x.next_pos, x.tlen, _tags(x.aux, 0)
+                aux = _tags(x.aux, 0)
+                if 0 <= x.group < len(self.groups):
+                    aux.setdefault("RG", ("Z", self.groups[x.group]))
+                yield x.qname, x.flag, x.tid, contig, x.pos, x.mapq, ops, x.seq, x.qual, x.next_tid, x.next_pos, x.tlen, aux
 
 
 def _no_reference(tid: int, start: int, end: int) -> str:

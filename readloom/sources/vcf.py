@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.sources import sam
+
 TYPES = ("Integer", "Float", "Flag", "Character", "String")
 
 
@@ -21,6 +23,14 @@ class Header:
     samples: list[str] = field(default_factory=list)
     other: list[str] = field(default_factory=list)
 
+    @staticmethod
+    def of_alignments(lines: list[str]) -> Header:
+        """A header with the contigs of an alignment header's @SQ lines."""
+        out = Header()
+        for _, name, length in sam.contigs(lines):
+            out.contig(name, length)
+        return out
+
     @staticmethod
     def _new(where: dict, name: str, value: object) -> None:
         if name in where:
@@ -71,6 +81,25 @@ class Header:
         ]
 
 
+def format_of(path: str) -> str:
+    """`vcf`, `vcf.gz` or `bcf` by a path's end; raises ValueError for others."""
+    for end, kind in ((".bcf", "bcf"), (".gz", "vcf.gz"), (".vcf", "vcf")):
+        if path.endswith(end):
+            return kind
+    raise ValueError(f"neither .vcf, .vcf.gz nor .bcf: {path}")
+
+
+def write_as(lines: DataFrame, header: Header, path: str) -> None:
+    """Part files of the format that the path's end names."""
+    from readloom.sources import bcf
+
+    kind = format_of(path)
+    if kind == "vcf":
+        write(lines, header, path)
+    else:
+        bcf.write(lines, header, path, binary=kind == "bcf")
+
+
 def write(lines: DataFrame, header: Header, path: str, compression: str | None = None) -> None:
     """Writes lines(contig, pos1, line) below the header, in contig order and position.
 

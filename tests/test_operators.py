@@ -77,9 +77,9 @@ def test_nm_is_mismatches_deletions_and_insertions_of_md(spark, made):
     import re
 
     df = frame(spark, [("".join(f"{n}{op}" for n, op in ops if op not in "=X") or "1M", pos) for ops, pos in made])
-    p = pairs.with_read(pairs.aligned_pairs(df, carry=("seq", "qual"))).withColumn("ref_base", reads.reference_base(F.col("rpos")))
-    nm = {r.read_id: r for r in pairs.mismatch_counts(p).collect()}
-    for r in pairs.md_text(df, reads.reference_base).collect():
+    letters = pairs.by_position(reads.reference_base)
+    nm = {r.read_id: r for r in pairs.mismatch_counts(df, letters).collect()}
+    for r in pairs.md_text(df, letters).where("md is not null").collect():
         assert re.fullmatch(r"\d+((\^[ACGTN]+|[ACGTN])\d+)*", r.md)
         deleted = sum(len(x) - 1 for x in re.findall(r"\^[ACGTN]+", r.md))
         wrong = len(re.sub(r"\^[ACGTN]+|\d", "", r.md))
@@ -143,7 +143,7 @@ def test_best_alt_ties_go_to_the_earlier_base(spark):
 
 def test_mate_dedup_rules(spark):
     rows = [("3M", 0, "AAA", "q", 128), ("3M", 0, "CCC", "q", 64), ("3M", 0, "GGG", "q", 0), ("1M1D1M", 10, "AA", "p", 64), ("3M", 10, "CCC", "p", 128)]
-    got = pileup.mate_deduplicated(pileup.columns(frame(spark, rows))).where("pos in (0, 11)").orderBy("pos", "read_id").collect()
+    got = pileup.mate_deduplicated(frame(spark, rows)).where("pos in (0, 11)").orderBy("pos", "read_id").collect()
     assert [(r.pos, r.base) for r in got] == [(0, "C"), (0, "G"), (11, "C")]
 
 
@@ -209,3 +209,145 @@ def test_phred_of_zero_probability(spark):
     x = scalars.phred(F.col("p"))
     rows = spark.createDataFrame([(0.0,), (0.01,), (1.0,), (None,)], "p double").select(x.alias("x"), scalars.phred_int(x).alias("n")).collect()
     assert rows[0].x == float("inf") and [r.n for r in rows] == [99, 20, 0, None]
+
+
+def test_modification_texts(spark):
+    """Any letter is a code, U and N are no bases, each entry ends with a semicolon; without deltas no probabilities are needed."""
+    make = lambda mm, ml: spark.createDataFrame([(1, "ACCAC", 0, mm, ml)], "read_id long, seq string, flag int, mm string, ml array<int>")
+    got = lambda mm, ml: sorted((r.qpos, r.mod, r.prob) for r in mods.calls(make(mm, ml)).collect())
+    assert got("C+C,0;", [5]) == [(1, "C", 5)] and got("c+m,2;", [6]) == [(4, "m", 6)] and got("C+m;", None) == [] and got("", None) == []
+    for bad, why in [("C+m,0", "semicolon"), ("N+m,0;", "base N"), ("U+m,0;", "bad base"), ("C*m,0;", "strand"), ("C+,0;", "code"), ("C+m,x;", "delta"), (";", "bad"), ("C+m,4294967296;", "number")]:
+        with pytest.raises(Exception, match=why):
+            got(bad, [1])
+    with pytest.raises(Exception, match="differ"):
+        got("C+m,0;", None)
+
+
+def test_unmodified_needs_the_dot(spark):
+    rows = [("C+m,0;",), ("C+m?,0;",), ("C+m.,0;",)]
+    found = F.array().cast("array<struct<qpos:int>>")
+    got = [r[0] for r in spark.createDataFrame(rows, "mm string").select(mods.is_unmodified(found, mods.entries(F.col("mm")), F.lit(3), F.lit("C"))).collect()]
+    assert got == [None, None, True]
+
+
+def template(spark, rows):
+    """(contig, pos, length, flag) rows of one template in file order to their lengths."""
+    made = [(i, "q", f, c, p, 60, f"{n}M", "", []) for i, (c, p, n, f) in enumerate(rows)]
+    df = spark.createDataFrame(made, READ).withColumn("ops", cigar.parse(F.col("text")))
+    return [r.tlen for r in reads.template_lengths(df).orderBy("read_id").collect()]
+
+
+def test_template_lengths(spark):
+    """The first read of a template decides the sign, all others have the opposite one."""
+    assert template(spark, [("c", 10, 5, 65), ("c", 20, 5, 129)]) == [15, -15]
+    assert template(spark, [("c", 20, 5, 65), ("c", 10, 5, 129)]) == [-15, 15]
+    assert template(spark, [("c", 15, 5, 65), ("c", 10, 5, 129), ("c", 20, 5, 129)]) == [-15, 15, 15]
+    assert template(spark, [("c", 10, 9, 65), ("c", 10, 9, 129)]) == [9, -9] and template(spark, [("c", 10, 9, 129), ("c", 10, 9, 65)]) == [-9, 9]
+    assert template(spark, [("c", 10, 9, 129), ("c", 10, 5, 65)]) == [-9, 9] and template(spark, [("c", 10, 9, 65), ("c", 12, 3, 129)]) == [9, -9]
+    assert template(spark, [("c", 10, 9, 65), ("d", 12, 3, 129)]) == [0, 0] and template(spark, [("c", 10, 9, 65), ("c", 12, 3, 133)]) == [0, 0]
+
+
+def test_one_pair_a_template(spark):
+    rows = [(i, "q", 65 if i % 2 else 129, "c", i, 60, "5M", "", []) for i in range(400)] + [(900, "p", 65, "c", 1, 60, "5M", "", []), (901, "p", 129 + 256, "c", 9, 60, "5M", "", [])]
+    df = spark.createDataFrame(rows, READ).withColumn("ops", cigar.parse(F.col("text")))
+    assert [tuple(r) for r in reads.mates(df).collect()] == [("q", 1, 0, "c", "c", -1)]
+
+
+def test_as_of_keeps_every_point(spark):
+    points = spark.createDataFrame([(5,), (5,), (100,), (101,), (90_000,), (-7,)], "at long")
+    marks = spark.createDataFrame([(5, 1), (100, 2), (100, 3), (200, 4)], "mark long, value long")
+    for width in (1, 10, 1000):
+        got = sorted((r.at, r.mark, r.value) for r in intervals.as_of(points, marks, width).where("mark is not null").collect())
+        assert got == [(5, 5, 1), (5, 5, 1), (100, 100, 3), (101, 100, 3), (90_000, 200, 4)]
+        assert intervals.as_of(points, marks, width).count() == 6
+
+
+def test_float_texts_of_all_sizes(spark):
+    xs = [1.23456e-7, 1e-12, float("inf"), float("-inf"), float("nan"), None, -0.0, 35.89775, 0.777778, 1e6, 16777216.0, -1234.5]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(scalars.float_text(F.col("x"))).collect()]
+    assert got == ["0.000000123456", "0.000000000001", "inf", "-inf", ".", ".", "0", "35.8978", "0.777778", "1000000", "16777216", "-1234.5"]
+
+
+def test_reserved_cigar_codes_round_trip(spark):
+    words = [10 << 4, 3 << 4 | 9, 7 << 4 | 15]
+    df = spark.createDataFrame([(words,)], "w array<long>").select(cigar.from_codes(F.col("w")).alias("o"))
+    assert df.select(cigar.codes(F.col("o"))).first()[0] == words and [o.op for o in df.first().o] == ["M", "9", "15"]
+
+
+def test_placement_of_many_ops(spark):
+    """More ops than are placed at a time, against a loop."""
+    import random
+
+    rng = random.Random(3)
+    for n in (1, 127, 128, 129, 600):
+        ops = [(rng.randrange(0, 4), rng.choice("MIDNSHP=X")) for _ in range(n)]
+        text = "".join(f"{k}{op}" for k, op in ops)
+        got = frame(spark, [(text, 50, "")]).select(cigar.placed(F.col("pos"), F.col("ops")).alias("p")).first().p
+        want, r, q = [], 50, 0
+        for i, (k, op) in enumerate(ops):
+            ins = 0
+            for m, x in ops[i + 1 :]:
+                if x not in "IP":
+                    break
+                ins += m if x == "I" else 0
+            if k:
+                want.append((i, op, k, r, q, ins))
+            r, q = r + (k if op in "MDN=X" else 0), q + (k if op in "MIS=X" else 0)
+        assert [tuple(x) for x in got] == want
+
+
+def test_walk_checks_and_reference(spark):
+    df = frame(spark, [("2M1I2D1M", 4, "ACGT")])
+    rows = pairs.aligned_pairs(df, read=True, letters=pairs.by_position(lambda p: F.when(p < 7, reads.reference_base(p)))).orderBy("i", "qpos").collect()
+    assert [(r.op, r.bases, r.quals) for r in rows] == [("M", "A", [30]), ("M", "C", [30]), ("I", "G", [30]), ("D", "", None), ("M", "T", [30])] or [r.bases or "" for r in rows] == ["A", "C", "G", "", "T"]
+    assert [r.ref_bases is None for r in rows] == [False, False, True, True, True]
+    with pytest.raises(Exception, match="differ in length"):
+        pairs.aligned_pairs(frame(spark, [("5M", 0, "ACG")]), read=True).collect()
+    with pytest.raises(Exception, match="differ in length"):
+        pairs.aligned_pairs(frame(spark, [("3M", 0, "ACG")]).withColumn("qual", F.array(F.lit(1))), read=True).collect()
+
+
+def test_record_edits(spark):
+    df = frame(spark, [("3M", 0, "ACG")])
+    assert reads.with_sequence(df, F.lit("TTT"), F.array().cast("array<int>")).first().seq == "TTT"
+    with pytest.raises(Exception, match="differ"):
+        reads.with_sequence(df, F.lit("TTTT"), F.col("qual")).collect()
+    with pytest.raises(Exception, match="name is too long"):
+        reads.checked(df.withColumn("qname", F.repeat(F.lit("x"), 255))).collect()
+    moved = reads.with_mate(df, F.lit("d"), F.lit(5), F.lit(-9)).first()
+    assert (moved.next_contig, moved.next_pos, moved.tlen) == ("d", 5, -9)
+
+
+LINES = [
+    # CIGAR, bases, flag, strand-independent expectation of (pos1, depth, bases, quals); the reference is all A
+    ("3M", "AAC", 0, [(1, "^].", "?"), (2, ".", "?"), (3, "C$", "?")]),
+    ("2M1I1M", "ACGA", 16, [(1, "^],", "?"), (2, "c+1g", "?"), (3, ",$", "?")]),
+    ("1M2D1M", "AA", 0, [(1, "^].", "?"), (2, "*", "~"), (3, "*", "~"), (4, ".$", "?")]),
+    ("1M1D1I1M", "ACA", 0, [(1, "^].", "?"), (2, "*+1", "~"), (3, ".$", "?")]),
+    ("1M2N1M", "AA", 16, [(1, "^],", "?"), (2, "<", "~"), (3, "<", "~"), (4, ",$", "?")]),
+    ("1M1P2I1M", "ACTA", 0, [(1, "^].+2CT", "?"), (2, ".$", "?")]),
+    ("2S1M1D", "GGA", 0, [(1, "^].", "?"), (2, "*$", "~")]),
+]
+
+
+@pytest.mark.parametrize(("text", "bases", "flag", "want"), LINES)
+def test_pileup_lines(spark, text, bases, flag, want):
+    df = frame(spark, [(text, 0, bases, "q", flag)])
+    rows = pileup.pileup_text(df, lambda p: F.lit("A")).orderBy("pos1").collect()
+    assert [(r.pos1, r.bases, r.quals) for r in rows] == want and {r.ref_base for r in rows} == {"A"}
+    trimmed = pileup.pileup_text(df, lambda p: F.lit("A"), trim=True).orderBy("pos1").collect()
+    assert [r.bases for r in trimmed] == ([b for _, b, _ in want] if text != "2S1M1D" else ["^].$"])
+
+
+def test_array_tags_and_mixed_ploidy(spark):
+    none = F.create_map().cast(tags.KIND)
+    df = spark.range(1)
+    assert df.select(F.size(tags.get_array(tags.put_array(none, "XB", "C", F.array_repeat(F.lit(7), (1 << 20) + 5)), "XB"))).first()[0] == (1 << 20) + 5
+    for bad in (tags.put_array(none, "XB", "c", F.array(F.lit(128))), tags.put_char(none, "XC", F.lit("é"))):
+        with pytest.raises(Exception):
+            df.select(bad).collect()
+    one = lambda *a: F.struct(F.array(*map(F.lit, a)).alias("alleles"), F.array(F.lit(True)).alias("phased"))
+    with pytest.raises(Exception, match="ploidy"):
+        df.select(calls.genotypes(F.array(one(0, 1), one(0)))).collect()
+    with pytest.raises(ValueError):
+        calls.record_line(F.lit("c"), F.lit(1), calls.reference_allele(F.lit("A")), formats=[("GT", F.array(F.lit("0/1")))])

@@ -2,6 +2,7 @@ import gzip
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from readloom.sources import bam, bgzf, sam, sequence, vcf
 
@@ -132,3 +133,162 @@ def test_detect_errors(tmp_path):
             bam.detect(str(tmp_path / "f"))
     (tmp_path / "f").write_bytes(b"CRAM\3\0")
     assert bam.detect(str(tmp_path / "f")) == "cram"
+
+
+def test_region_of_compressed_text(spark, tmp_path):
+    rng = random.Random(5)
+    body = sorted((rng.randrange(1, 90_000), f"q{i}") for i in range(4000))
+    rows = "".join(f"{n}\t0\tc1\t{p}\t9\t30M2D8M\t*\t0\t0\t{'ACGT' * 9}AC\t*\n" for p, n in body)
+    top = "@HD\tVN:1.6\tSO:coordinate\n@SQ\tSN:c1\tLN:100000\n@SQ\tSN:c2\tLN:50\n"
+    (tmp_path / "x.sam").write_text(top + rows)
+    full = sam.read(spark, str(tmp_path / "x.sam"))
+    out = str(tmp_path / "out")
+    sam.write_indexed(full, [("c1", 100_000), ("c2", 50)], out)
+    for low, high in ((1, 10), (30_000, 30_000), (16_380, 60_000), (89_000, 100_000)):
+        got = sam.read_region(spark, out, f"c1:{low}-{high}")
+        assert sorted(r.qname for r in got.collect()) == sorted(n for p, n in body if p <= high and p + 39 >= low)
+    assert sam.read_region(spark, out, "c2").count() == 0
+    with pytest.raises(ValueError):
+        sam.read_region(spark, out, "zz")
+    assert sam.checked_header(spark, str(tmp_path / "x.sam"))[1].startswith("@SQ")
+
+
+def test_a_long_header(spark, tmp_path):
+    top = "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:c{i}\tLN:{i + 1}\n" for i in range(700))
+    (tmp_path / "x.sam").write_text(top + "r\t0\tc1\t1\t9\t1M\t*\t0\t0\tA\tI\n@looks\tlike a header\n")
+    assert len(sam.contigs(sam.header_lines(spark, str(tmp_path / "x.sam")))) == 700
+
+
+def alignments(spark, n=3000):
+    rng = random.Random(7)
+    rows = []
+    for i in range(n):
+        c = rng.choice(["c1", "c2"])
+        rows.append((f"q{i}", rng.choice([0, 16]), int(c[1]) - 1, c, rng.randrange(0, 90_000), i % 61, [(20, "M"), (i % 900 + 1, "N")], "A" * 20, [30] * 20, -1, -1, 0, {}))
+    return spark.createDataFrame(rows, bam.SCHEMA)
+
+
+def write_bam(df, out, **options):
+    df.repartitionByRange(2, "contig", "pos").sortWithinPartitions("contig", "pos").write.format("bam").options(contigs="c1:100000,c2:100000", **options).mode("append").save(out)
+
+
+@pytest.mark.parametrize("index", ["bai", "csi", "none"])
+@pytest.mark.parametrize("split", [1 << 10, 64 << 20])
+def test_bam_by_each_index(spark, tmp_path, monkeypatch, index, split):
+    spark.dataSource.register(bam.BamSource)
+    df = alignments(spark).cache()
+    out = str(tmp_path / "bam")
+    write_bam(df, out, index=index, level="1")
+    reader = bam.BamReader({"path": out})
+    monkeypatch.setattr(bam, "SPLIT", split)
+    parts = reader.partitions()
+    assert len(parts) > 4 if split < 1 << 20 and index != "none" else len(parts) <= 4
+    names = [reader_row[0] for p in parts for reader_row in reader.read(p)]
+    assert sorted(names) == sorted(r.qname for r in df.collect())
+    got = spark.read.format("bam").option("region", "c2:16384-20000").load(out)
+    want = [r.qname for r in df.collect() if r.contig == "c2" and r.pos <= 19_999 and r.pos + sum(o.len for o in r.ops) - 1 >= 16_383]
+    assert sorted(r.qname for r in got.collect()) == sorted(want)
+    df.unpersist()
+
+
+def test_pushed_filters(spark, tmp_path):
+    out = str(tmp_path / "bam")
+    spark.dataSource.register(bam.BamSource)
+    df = alignments(spark).cache()
+    write_bam(df, out)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        for where in ("mapq >= 30", "contig = 'c2' and pos > 5000 and pos <= 9000", "contig in ('c1') and flag = 16 and qname like '%7'", "pos = 77 or mapq = 3", "pos < 100 and pos > 50000"):
+            got = bam.load(spark, out).where(where)
+            assert sorted(r.qname for r in got.collect()) == sorted(r.qname for r in df.where(where).collect())
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    reader = bam.PushingReader({"path": out})
+    from pyspark.sql.datasource import EqualTo, GreaterThan, StringContains
+
+    left = list(reader.pushFilters([EqualTo(("contig",), "c1"), GreaterThan(("pos",), 80_000), StringContains(("qname",), "1")]))
+    assert len(left) == 1 and all(p.tid == 0 for p in reader.partitions())
+    assert all(r[3] == "c1" and r[4] > 80_000 for p in reader.partitions() for r in reader.read(p))
+    df.unpersist()
+
+
+def test_a_failed_write_leaves_nothing_to_read(spark, tmp_path):
+    spark.dataSource.register(bam.BamSource)
+    out = str(tmp_path / "bam")
+    with pytest.raises(Exception):
+        alignments(spark, 50).repartition(1).orderBy("qname").write.format("bam").options(contigs="c1:100000,c2:100000").mode("append").save(out)
+    with pytest.raises(bgzf.FormatError):
+        bam.files_of(out, ".bam")
+
+
+def test_reserved_ops_of_binary_records():
+    row = {"qname": "q", "flag": 0, "contig": "c", "pos": 3, "mapq": 1, "ops": [{"len": 4, "op": "M"}, {"len": 2, "op": "11"}], "seq": "ACGT", "qual": [], "next_tid": -1, "next_pos": -1, "tlen": 0, "aux": {}}
+    assert bam.decode(bam.encode(row, {"c": 0}), [("c", 9)])[6] == [(4, "M"), (2, "11")]
+
+
+def test_sequences_split_anywhere(spark, tmp_path):
+    """Contigs over many splits of a file, of one line and of many, with and without carriage returns."""
+    rng = random.Random(9)
+    want, text = {}, ""
+    for i, n in enumerate([1, 60, 61, 5000, 0, 23_456, 7]):
+        seq = "".join(rng.choice("ACGTNacgt") for _ in range(n))
+        want[f"c{i}"] = seq.upper()
+        text += f">c{i} some text\n" + "".join(seq[k : k + 60] + "\n" for k in range(0, n, 60))
+    path = tmp_path / "x.fa"
+    path.write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = {}
+        for r in sequence.read_fasta(spark, str(path), 777).orderBy("contig", "start").collect():
+            assert len(got.get(r.contig, "")) == r.start
+            got[r.contig] = got.get(r.contig, "") + r.seq
+        assert got == {k: v for k, v in want.items() if v}
+        data = path.read_bytes()
+        for r in sequence.index_fasta(spark, str(path)).collect():
+            size = -(-r.length // r.linebases) * (r.linewidth - r.linebases) + r.length
+            assert data[r.offset : r.offset + size].replace(b"\n", b"").decode().upper() == want[r.name]
+        fastq = "".join(f"@r{i}\n{'ACGT' * (i % 30)}\n+\n{'I' * (i % 30 * 4)}\n" for i in range(1, 900))
+        (tmp_path / "x.fq").write_text(fastq)
+        rows = sequence.read_fastq(spark, str(tmp_path / "x.fq")).orderBy("nth").collect()
+        assert [(r.nth, r.name, len(r.seq)) for r in rows] == [(i - 1, f"r{i}", i % 30 * 4) for i in range(1, 900)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    path.write_text(">a\nACG\nAC\nACG\n")
+    with pytest.raises(Exception, match="unequal"):
+        sequence.index_fasta(spark, str(path)).collect()
+
+
+def test_other_fastq_shapes(spark, tmp_path):
+    (tmp_path / "m.fq").write_text("@a one XY:Z:t\nACG\nTA\n+a\nII\n@II\n\n@b/1\nC\n+\n+\n")
+    rows = sequence.read_multiline_fastq(spark, str(tmp_path / "m.fq")).orderBy("nth").collect()
+    assert [(r.name, r.seq, len(r.qual)) for r in rows] == [("a", "ACGTA", 5), ("b/1", "C", 1)]
+    (tmp_path / "cut.fq").write_text("@a\nACG\n+\nII\n")
+    with pytest.raises(Exception, match="whole"):
+        sequence.read_multiline_fastq(spark, str(tmp_path / "cut.fq")).collect()
+    (tmp_path / "i.fq").write_text("@a/1\nAC\n+\nII\n@a/2\nG\n+\nI\n@b\nA\n+\nI\n@b\nT\n+\nI\n")
+    both = sequence.interleaved(sequence.read_fastq(spark, str(tmp_path / "i.fq"))).orderBy("nth").collect()
+    assert [(r.name, r.seq1, r.seq2) for r in both] == [("a", "AC", "G"), ("b", "A", "T")]
+    (tmp_path / "odd.fq").write_text("@a/1\nAC\n+\nII\n")
+    with pytest.raises(Exception, match="no mate"):
+        sequence.interleaved(sequence.read_fastq(spark, str(tmp_path / "odd.fq"))).collect()
+    tagged = sequence.unmapped_records(sequence.read_multiline_fastq(spark, str(tmp_path / "m.fq"))).where("qname = 'a'").first()
+    assert tagged.aux["XY"].value == "t"
+    assert [sequence.compression(x) for x in (bgzf.compress(b"a"), gzip.compress(b"a"), b"@a")] == ["bgzf", "gzip", "plain"]
+
+
+def test_variant_formats_by_path(spark, tmp_path):
+    header = vcf.Header.of_alignments(["@SQ\tSN:c1\tLN:9"]).info("DP", "1", "Integer", "d")
+    rows = spark.createDataFrame([("c1", 5, "c1\t5\t.\tA\tC\t.\tPASS\tDP=3")], "contig string, pos1 long, line string")
+    for name, kind in (("x.vcf", "vcf"), ("x.vcf.gz", "vcf.gz"), ("x.bcf", "bcf")):
+        assert vcf.format_of(name) == kind
+        vcf.write_as(rows, header, str(tmp_path / name))
+        assert (tmp_path / name / "_SUCCESS").exists()
+    with pytest.raises(ValueError):
+        vcf.format_of("x.txt")
+    bad = rows.withColumn("contig", F.lit("zz"))
+    with pytest.raises(Exception, match="no contig"):
+        vcf.write_as(bad, header, str(tmp_path / "bad.bcf"))
+    assert not (tmp_path / "bad.bcf").exists()
