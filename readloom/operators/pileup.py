@@ -160,6 +160,17 @@ def with_reference(rows: DataFrame, reference: DataFrame) -> DataFrame:
     return rows.join(ref, ["contig", "pos"], "left").withColumn("ref_base", F.coalesce("ref_base", F.lit("N")))
 
 
+def reference_range(reference: DataFrame, ranges: DataFrame) -> DataFrame:
+    """ranges(contig, first, last, ...) with bases, the text of reference(contig, pos, base) there; null unless all of it is known."""
+    key = F.xxhash64(*ranges.columns)
+    each = ranges.withColumn("key", key).withColumn("pos", F.explode(F.sequence("first", "last")))
+    met = each.join(reference.select("contig", "pos", "base"), ["contig", "pos"], "left")
+    listed = F.array_sort(F.collect_list(F.when(F.col("base").isNotNull(), F.struct("pos", "base"))))
+    text = F.array_join(F.transform(listed, lambda x: x["base"]), "")
+    out = met.groupBy("key", *ranges.columns).agg(F.when(F.count("base") == F.count(F.lit(1)), text).alias("bases"))
+    return out.drop("key")
+
+
 def base_counts(cols: DataFrame, by: tuple[str, ...] = ("contig", "pos")) -> DataFrame:
     """n_a, n_c, n_g, n_t and depth of columns; N isn't counted."""
     return cols.groupBy(*by).agg(

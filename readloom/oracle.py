@@ -384,4 +384,7 @@ SQL: dict[str, str] = {
     "walk_everything": f"""WITH {OPS}, e AS (SELECT contig, op, 1 AS n, qs + j AS q, rs + j AS r FROM ops, unnest(range(len)) AS t(j) WHERE op IN ('M', '=', 'X')
         UNION ALL SELECT contig, op, len, CASE WHEN op IN ('I', 'S') THEN qs END, CASE WHEN op IN ('D', 'N') THEN rs END FROM ops WHERE op IN ('I', 'D', 'N', 'S', 'P'))
       SELECT contig, op, count(*) AS n, CAST(sum(n) AS BIGINT) AS bases, CAST(sum(q) AS BIGINT) AS q, CAST(sum(r) AS BIGINT) AS r FROM e GROUP BY contig, op""",
+    "opened_pileup": f"""WITH {COLS} SELECT contig, pos, {REFBASE} AS ref_base, count(*) AS depth FROM cols WHERE contig = 'chr2' AND pos BETWEEN 500 AND 899 GROUP BY contig, pos""",
+    "reference_ranges": f"""WITH r AS (SELECT s_suppkey, s_suppkey * 97 % 900 AS a, s_suppkey * 97 % 900 + s_suppkey % 90 AS z FROM supplier)
+      SELECT s_suppkey, CASE WHEN min(a) >= 100 AND min(z) < 800 THEN string_agg({REF.format("p")}, '' ORDER BY p) END AS bases FROM r, unnest(range(a, z + 1)) AS t(p) GROUP BY s_suppkey""",
 }

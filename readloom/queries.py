@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from readloom.functions import cigar, scalars, tags
 from readloom.operators import calls, intervals, mods, pairs, pileup, reads
 from readloom.plans.layout import scratch_dir
-from readloom.sources import bam, bcf, sam, sequence, vcf
+from readloom.sources import bam, bcf, opening, sam, sequence, vcf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -572,6 +573,7 @@ def float_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def profile_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Exact percentiles; a group's state is a count for each distinct value, of which quantities have 50."""
     q = F.percentile("l_quantity", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
     return _table(spark, d, "lineitem").groupBy("l_returnflag").agg(q.alias("q")).select("l_returnflag", *(F.round(F.get("q", F.lit(i)), 6).alias(n) for i, n in enumerate(("p50", "p90", "p99"))))
 
@@ -650,6 +652,25 @@ def vcf_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("contig", "pos1", "ref", F.array_join("alts", ",").alias("alt"), F.col("info")["DP"].cast("long").alias("depth"), F.element_at("samples", 1).alias("gt"))
 
 
+@query
+def opened_pileup(spark: SparkSession, d: str) -> DataFrame:
+    """Depth and reference base of a region's columns, from a file opened by its first bytes with its reference."""
+    path = scratch_dir(spark)
+    whole = spark.createDataFrame(CONTIGS, "name string, n int").select("name", F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1), reads.reference_base), "").alias("seq"))
+    sequence.write_fasta(whole.coalesce(1), path, 60)
+    file = next(x for x in sorted(os.listdir(path)) if x.startswith("part-"))
+    opened = opening.open_alignments(spark, _bam(spark, d), os.path.join(path, file))
+    return opened.pileup("chr2:501-900", carry=(), bases=False).groupBy("contig", "pos", "ref_base").agg(F.count(F.lit(1)).alias("depth"))
+
+
+@query
+def reference_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Bases of ranges that a reference covers wholly, null for others."""
+    ranges = _table(spark, d, "supplier").select("s_suppkey", F.lit("c").alias("contig"), (F.col("s_suppkey") * 97 % 900).alias("first"), (F.col("s_suppkey") * 97 % 900 + F.col("s_suppkey") % 90).alias("last"))
+    reference = spark.range(100, 800).select(F.lit("c").alias("contig"), F.col("id").alias("pos"), reads.reference_base(F.col("id")).alias("base"))
+    return pileup.reference_range(reference, ranges).select("s_suppkey", "bases")
+
+
 @query
 def fasta_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Sequences written as FASTA lines, indexed, and fetched by index and by tiles."""

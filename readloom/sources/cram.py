@@ -22,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from readloom.functions.scalars import FIRST, MATE_REVERSE, MATE_UNMAPPED, REVERSE, UNMAPPED, parse_region
-from readloom.sources import codecs, indexes
+from readloom.sources import bgzf, codecs, indexes
 from readloom.sources.bam import _ONLY_BASES, SCHEMA, _tags
 from readloom.sources.bgzf import FormatError
 from readloom.sources.sam import contigs as contigs_of
@@ -544,10 +544,13 @@ def slice_records(c: Compression, r: Bytes, fetch: Callable[[int, int, int], str
 
 
 class Fasta:
-    """Reference bases from a mounted file with its index."""
+    """Reference bases from a mounted file with its index, block-compressed files with that of their blocks (`.gzi`) as well."""
 
     def __init__(self, path: str, names: list[str]):
-        self.path, self.index, self.held = path, {}, (-1, 0, "")
+        self.path, self.index, self.held, self.blocks = path, {}, (-1, 0, ""), None
+        if path.endswith((".gz", ".bgz")):
+            with open(path + ".gzi", "rb") as f:
+                self.blocks = indexes.BlockIndex.parse(f.read())
         with open(path + ".fai") as f:
             rows = {x[0]: tuple(map(int, x[1:5])) for x in (line.split("\t") for line in f)}
         self.index = {i: rows[n] for i, n in enumerate(names) if n in rows}
@@ -558,13 +561,20 @@ class Fasta:
             length, offset, bases, width = self.index[tid]
             low, high = start, min(max(end, start + 100_000), length)
             first, last = (offset + p // bases * width + p % bases for p in (low, high))
-            with open(self.path, "rb") as f:
-                f.seek(first)
-                text = b"".join(f.read(last - first).split()).decode().upper()
+            text = b"".join(self._bytes(first, last).split()).decode().upper()
             self.held = (tid, low, text)
         return text[start - low : end - low]
 
 
+    def _bytes(self, first: int, last: int) -> bytes:
+        with open(self.path, "rb") as f:
+            if self.blocks is None:
+                f.seek(first)
+                return f.read(last - first)
+            block, within = self.blocks.translate(first)
+            return bgzf.Reader(f, block << 16 | within).read(last - first)
+
+
 @dataclass
 class Part(InputPartition):
     path: str

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from readloom.sources import bam, bgzf, sam, sequence, vcf
+from readloom.sources import bam, bgzf, indexes, opening, sam, sequence, vcf
 
 SAM = """@HD\tVN:1.6\tSO:coordinate
 @SQ\tSN:c1\tLN:60
@@ -292,3 +292,51 @@ def test_variant_formats_by_path(spark, tmp_path):
     with pytest.raises(Exception, match="no contig"):
         vcf.write_as(bad, header, str(tmp_path / "bad.bcf"))
     assert not (tmp_path / "bad.bcf").exists()
+
+
+def test_opening_by_content(spark, tmp_path):
+    """Each format behind one interface, with its reference's contigs checked."""
+    df = alignments(spark, 400)
+    b, t = str(tmp_path / "b"), str(tmp_path / "t")
+    spark.dataSource.register(bam.BamSource)
+    write_bam(df, b)
+    sam.write_indexed(df.withColumn("next_contig", F.lit(None).cast("string")), [("c1", 100_000), ("c2", 100_000)], t)
+    fa = tmp_path / "r.fa"
+    fa.write_text(">c1\n" + "ACGTT" * 20_000 + "\n>c2\n" + "GGCCA" * 20_000 + "\n")
+    made = [opening.open_alignments(spark, x, str(fa)) for x in (b, t)]
+    assert [m.kind for m in made] == ["bam", "sam.gz"] and made[0].contigs == made[1].contigs == (("c1", 100_000), ("c2", 100_000))
+    for region in (None, "c2:5000-9000"):
+        one, two = (sorted((r.qname, r.contig, r.pos, r.seq) for r in m.read(region).collect()) for m in made)
+        assert one == two and one
+        depths = [sorted((r.pos, r.ref_base, r["count"]) for r in m.pileup("c2:5000-5400").groupBy("pos", "ref_base").count().collect()) for m in made]
+        assert depths[0] == depths[1] and all("GGCCA"[p % 5] == base for p, base, _ in depths[0])
+    assert made[0].bases("c1", 3, 9) == "TTACGT" and made[0].segments("c1:1-5000", 2000).count() == 3
+    with pytest.raises(ValueError):
+        made[0].bases("c1", 99_999, 100_001)
+    with pytest.raises(ValueError):
+        made[0].pileup("zz")
+    fa.write_text(">c1\nACGT\n>c2\nA\n")
+    with pytest.raises(ValueError, match="lengths"):
+        made[0].reference()
+    with pytest.raises(bgzf.FormatError):
+        opening.open_alignments(spark, str(tmp_path))
+
+
+def test_compressed_reference(tmp_path):
+    from readloom.sources import cram
+
+    rng = random.Random(2)
+    seq = "".join(rng.choice("ACGT") for _ in range(200_000))
+    text = ">c\n" + "".join(seq[k : k + 70] + "\n" for k in range(0, len(seq), 70))
+    data, entries, at = text.encode(), [(0, 0)], 0
+    with open(tmp_path / "x.fa.gz", "wb") as f:
+        for k in range(0, len(data), bgzf.PAYLOAD):
+            f.write(block := bgzf.compress(data[k : k + bgzf.PAYLOAD]))
+            at += len(block)
+            entries.append((at, min(k + bgzf.PAYLOAD, len(data))))
+        f.write(bgzf.EOF_BLOCK)
+    (tmp_path / "x.fa.gz.gzi").write_bytes(indexes.BlockIndex(tuple(entries)).encoded())
+    (tmp_path / "x.fa.gz.fai").write_text(f"c\t{len(seq)}\t3\t70\t71\n")
+    fetch = cram.Fasta(str(tmp_path / "x.fa.gz"), ["c"])
+    for a, z in ((0, 5), (65_000, 66_000), (199_990, 200_000), (10, 12)):
+        assert fetch(0, a, z) == seq[a:z]
