@@ -151,29 +151,22 @@ def template_grams(spark: SparkSession) -> DataFrame:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Positions and hashes of the 2-grams and 3-grams that any template holds; the rest can't be joined."""
-    known = {k: np.unique(np.concatenate([T.grams(s, k) for s in _sequences([x for x, _ in TEMPLATES]) if gram_of(len(s)) == k])) for k in (2, 3)}
+    """Hashes of every 2-gram of a text and then of every 3-gram, n2 of the former."""
     for batch in batches:
         column = batch.column("text")
         for lo, hi in T.slices(column):
             w = T.words(*T.padded(column.slice(lo, hi - lo)), T.ALNUM)
-            ends = np.repeat(w.first[1:], w.counts)
-            at, grams = [], []
-            for k, some in known.items():
+            numbers = [np.maximum(w.counts - k + 1, 0) for k in (2, 3)]
+            begin = np.concatenate(([0], np.cumsum(numbers[0] + numbers[1])))
+            ends, doc = np.repeat(w.first[1:], w.counts), np.repeat(np.arange(hi - lo), w.counts)
+            flat = np.zeros(int(begin[-1]), np.int64)
+            for k, shift in ((2, 0), (3, numbers[0])):
                 g = T.grams(w.hashes, k)
-                inside = np.arange(len(g)) + k <= ends[: len(g)]
-                found = np.flatnonzero(inside & np.isin(g, some))
-                at.append(found)
-                grams.append(g[found])
-            at, grams = np.concatenate(at), np.concatenate(grams).view(np.int64)
-            order = np.argsort(at, kind="stable")
-            at, grams = at[order], grams[order]
-            doc = np.searchsorted(w.first, at, side="right") - 1
-            begin = pa.array(np.searchsorted(doc, np.arange(hi - lo + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(begin, pa.array(x, pa.int64())) for x in (at - w.first[doc], grams)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).slice(lo, hi - lo) for c in ("key", "text_hash")), *lists], ["key", "text_hash", "at", "grams"]
-            )
+                at = np.flatnonzero(np.arange(len(g)) + k <= ends[: len(g)])
+                flat[(begin[:-1] + shift - w.first[:-1])[doc[at]] + at] = g[at].view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(flat))
+            keys = [batch.column(c).slice(lo, hi - lo) for c in ("key", "text_hash")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(numbers[0], pa.int64()), lists], ["key", "text_hash", "n2", "grams"])
 
 
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,9 +294,9 @@ def candidate_spans(docs: DataFrame) -> DataFrame:
     votes = (
         _keyed(docs)
         .select("key", "text_hash", "text")
-        .mapInArrow(_grams, "key long, text_hash long, at array<long>, grams array<long>")
-        .select("key", "text_hash", F.explode(F.arrays_zip("at", "grams")).alias("g"))
-        .select("key", "text_hash", F.col("g.at").alias("pos"), F.col("g.grams").alias("gram"))
+        .mapInArrow(_grams, "key long, text_hash long, n2 long, grams array<long>")
+        .select("key", "text_hash", "n2", F.posexplode("grams").alias("nth", "gram"))
+        .select("key", "text_hash", "gram", F.when(F.col("nth") < F.col("n2"), F.col("nth")).otherwise(F.col("nth") - F.col("n2")).alias("pos"))
         .join(F.broadcast(template_grams(spark)), "gram")
         .withColumn("diagonal", F.col("pos") - F.col("at"))
         .groupBy("key", "text_hash", "template", "diagonal")

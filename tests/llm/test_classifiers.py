@@ -186,13 +186,11 @@ def test_rare_languages_are_learnt(spark):
     assert sorted(seen) == [f"l{k:03}" for k in range(300)]
 
 
-@pytest.mark.parametrize("huge", [0, 1])
-def test_results_do_not_depend_on_the_layout(spark, labelled, huge):
-    """Two and five partitions, with and without a labelled text that is larger than the whole sample may be."""
+def test_results_do_not_depend_on_the_layout(spark, labelled):
+    """Two and five partitions, with a labelled text that is larger than the whole sample may be."""
     docs, labels = labelled
     langs = [(i, t, ("aa", "bb")[i % 2]) for i, t, _, _ in docs]
-    if huge:
-        langs.insert(0, (0, "vast words " * 2_400_000, "aa"))
+    langs.insert(0, (0, "vast words " * 2_400_000, "aa"))
     df = spark.createDataFrame(langs, "doc_id long, text string, lang string")
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     makers = [
