@@ -15,7 +15,6 @@ from readloom.llm.decontaminate import contamination
 from readloom.llm.minhash import near_duplicates
 from readloom.llm.packing import pack
 from readloom.llm.quality import quality_scores
-from readloom.llm.token_counts import with_token_counts
 from readloom.llm.toxicity import toxicity_scores
 
 
@@ -58,17 +57,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each piece of each document in training sequences of TOKENS tokens.
+    """The place of each piece of each document in bins of fixed capacity, by bytes.
 
     Near duplicates are gone by now, so clusters are texts that differ in letter case only.
     """
-    counted = with_token_counts(docs.select("doc_id", "text", "source"))
-    return pack(counted, capacity=TOKENS, size="n_tokens")
+    return pack(docs)
 
 
-#: Tokens of a training sequence.
-TOKENS = 2048
-
 STAGES = [
     ("toxicity", toxicity),
     ("quality classifier", quality),
