@@ -5,7 +5,7 @@ import brute
 import pytest
 
 from readloom.llm import _common
-from readloom.llm.token_counts import load
+from readloom.llm.packing import CAPACITY
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -50,7 +50,7 @@ def test_each_stage_on_its_input(spark, sf_dir):
         before = {r.doc_id: r for r in docs.collect()}
         out = stage(spark, docs, sf_dir).cache()
         if name == "best-fit packing":
-            sizes = tokens_of({i: r.text for i, r in before.items()})
+            sizes = bytes_of({i: r.text for i, r in before.items()})
             packed = out.collect()
             assert {r.doc_id for r in packed} == set(sizes)
             assert sum(r.size for r in packed) == sum(sizes.values())
@@ -73,9 +73,8 @@ def test_each_stage_on_its_input(spark, sf_dir):
         docs = out
 
 
-def tokens_of(texts):
-    coder = load("byte_bpe_50k.json")
-    return {i: len(coder.encode(t or "", add_special_tokens=False)) for i, t in texts.items()}
+def bytes_of(texts):
+    return {i: len((t or "").encode()) for i, t in texts.items()}
 
 
 def test_run(spark, sf_dir):
@@ -87,7 +86,7 @@ def test_run(spark, sf_dir):
     left = {i: left[i] for i, (_, c) in brute.components([(i, r.text) for i, r in left.items()]).items() if i == c}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     left = {i: r for i, r in left.items() if not brute.contamination(r.text, items)[4]}
-    want, sizes = set(left), tokens_of({i: r.text for i, r in left.items()})
+    want, sizes = set(left), bytes_of({i: r.text for i, r in left.items()})
     found, bins = {}, {}
     for r in corpus_pipeline.run(spark, sf_dir).collect():
         found[r.doc_id] = found.get(r.doc_id, 0) + r.size
@@ -95,7 +94,7 @@ def test_run(spark, sf_dir):
             bins.setdefault(r.bin_id, []).append(r)
     assert set(found) == want and found == sizes and len(want) > 100
     for held in bins.values():
-        assert sum(r.size for r in held) <= corpus_pipeline.TOKENS
+        assert sum(r.size for r in held) <= CAPACITY
         assert len({left[r.doc_id].source for r in held}) == len(held)
 
 
