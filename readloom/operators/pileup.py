@@ -141,14 +141,17 @@ def mate_deduplicated(reads: DataFrame, carry: tuple[str, ...] = CARRIED, bases:
         .where("meet_low <= meet_high")
     )
     wanted = tuple(dict.fromkeys((*carry, "read_id", "qname", "flag", "meet_low", "meet_high")))
-    cols = columns(mapped.join(meets, ["contig", "qname"], "left"), carry=wanted, bases=bases)
+    joined = mapped.join(meets, ["contig", "qname"], "left")
+    cols = columns(joined, carry=wanted, bases=bases)
     inside = F.coalesce((F.col("pos") >= F.col("meet_low")) & (F.col("pos") <= F.col("meet_high")), F.lit(False))
+    # the few that are ranked are clipped to their range before they are exploded
+    ranked = columns(joined.where("meet_low is not null"), F.col("meet_low"), F.col("meet_high"), carry=wanted, bases=bases)
     first = Window.partitionBy("contig", "pos", "qname").orderBy("read_id")
     rank = Window.partitionBy("contig", "pos", "qname", "pair").orderBy(
         F.col("qpos").isNotNull().desc(), scalars.has(F.col("flag"), scalars.FIRST).desc(), "read_id"
     )
     n = F.col("nth")
-    met = cols.where(inside).withColumn("nth", F.row_number().over(first)).withColumn("pair", F.when(n <= 2, 0).otherwise(n))
+    met = ranked.withColumn("nth", F.row_number().over(first)).withColumn("pair", F.when(n <= 2, 0).otherwise(n))
     stays = met.withColumn("r", F.row_number().over(rank)).where("r = 1").select(*cols.columns)
     extra = [c for c in ("read_id", "qname", "flag", "meet_low", "meet_high") if c not in carry]
     return cols.where(~inside).unionByName(stays).drop(*extra)

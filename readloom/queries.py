@@ -626,8 +626,8 @@ def bam_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bam_region(spark: SparkSession, d: str) -> DataFrame:
-    """A region of binary alignments, by index and pushed filters."""
-    rows = spark.read.format("bam").option("region", "chr1:1001-2001").load(_bam(spark, d))
+    """A region of binary alignments by their index, with comparisons pushed into the scan where the session allows it."""
+    rows = bam.load(spark, _bam(spark, d), region="chr1:1001-2001")
     return _shown(rows.where("mapq >= 30")).select("qname", "flag", "contig", "pos", "cigar")
 
 
