@@ -172,8 +172,7 @@ def write_bam(df, out, **options):
     df.repartitionByRange(2, "contig", "pos").sortWithinPartitions("contig", "pos").write.format("bam").options(contigs="c1:100000,c2:100000", **options).mode("append").save(out)
 
 
-@pytest.mark.parametrize("index", ["bai", "csi", "none"])
-@pytest.mark.parametrize("split", [1 << 10, 64 << 20])
+@pytest.mark.parametrize(("index", "split"), [("bai", 1 << 10), ("csi", 1 << 10), ("csi", 64 << 20), ("none", 64 << 20)])
 def test_bam_by_each_index(spark, tmp_path, monkeypatch, index, split):
     spark.dataSource.register(bam.BamSource)
     df = alignments(spark).cache()
