@@ -4,6 +4,7 @@ import brute
 import pytest
 from pyspark.sql import Row
 
+from readloom.llm import components as star
 from readloom.llm import minhash
 from readloom.llm.components import components
 
@@ -72,7 +73,9 @@ def test_empty_table(spark):
     assert result(spark, []) == []
 
 
-def test_large_and_small_star(spark):
+@pytest.mark.parametrize("large", [512, 3])
+def test_large_and_small_star(spark, monkeypatch, large):
+    monkeypatch.setattr(star, "LARGE", large)
     chain = [Row(u=i, v=i + 1) for i in range(1, 40)] + [Row(u=100 + i, v=100) for i in range(1, 30)] + [Row(u=7, v=7), Row(u=None, v=3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, **{100 + i: 100 for i in range(30)}}
