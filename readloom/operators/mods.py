@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +49,181 @@ def entries(mm: Column) -> Column:
     return F.transform(parts, one)
 
 
+def parse(mm: str) -> list[tuple[str, str, list[str], str, list[int]]]:
+    """entries() of one text in Python, with the same errors."""
+    if mm and not mm.endswith(";"):
+        raise ValueError(f"bad MM text, no final semicolon: {mm}")
+    out = []
+    for x in mm[:-1].split(";") if mm else ():
+        found = re.fullmatch(_FORM[1:-1], x)
+        if not found or any(int(n) > 0xFFFFFFFF for n in re.findall("[0-9]+", x)):
+            checks = (
+                ("unsupported base N", re.match("[Nn]", x)),
+                ("bad base", not re.match("[ACGTacgt]", x)),
+                ("bad strand", not re.match(".[+-]", x)),
+                ("bad modification code", not re.match("..([A-Za-z]+|[0-9]+)([.?,]|$)", x)),
+            )
+            raise ValueError(f"bad MM entry, {next((why for why, wrong in checks if wrong), 'bad delta or number')}: {x}")
+        base, strand, codes, mode, deltas = found.groups()
+        listed = [{27551: "m", 76792: "h"}.get(int(codes), "?")] if codes.isdigit() else list(codes)
+        out.append((base.upper(), strand, listed, mode, [int(d) for d in deltas.split(",") if d]))
+    return out
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all runs, one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.arange(sizes.sum()) - np.repeat(before - starts, sizes)
+
+
+def _offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of a list's or a text's values; a null has size 0."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    sizes = np.diff(ends)
+    if column.null_count:
+        sizes = np.where(column.is_valid().to_numpy(zero_copy_only=False), sizes, 0)
+    return ends[:-1], sizes
+
+
+def _found(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """The calls of a batch's reads in order of reads: row, qpos, prob, rpos (-1 if not aligned) as numbers, the others as texts."""
+    of = {c: batch.column(batch.schema.get_field_index(c)) for c in ("seq", "ml", "reverse", "mm", "ops", "pos")}
+    coded = of["mm"].dictionary_encode()
+    listed, sizes, total = [], [], []
+    for mm in coded.dictionary.to_pylist():
+        at, n = 0, len(listed)
+        for base, strand, codes, _, deltas in parse(mm):
+            nth = -1
+            for d in deltas:
+                nth += d + 1
+                for code in codes:
+                    listed.append((base, strand, code, nth, at))
+                    at += 1
+        sizes.append(len(listed) - n)
+        total.append(at)
+    kind = np.asarray(coded.indices.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+    has = coded.indices.is_valid().to_numpy(zero_copy_only=False)
+    ml_at, ml_size = _offsets(of["ml"])
+    wanted = np.append(np.array(total, np.int64), 0)
+    if (has & (wanted[kind] != ml_size)).any():
+        raise ValueError("MM and ML differ in length")
+    n = np.append(np.array(sizes, np.int64), 0)
+    own = np.where(has, n[kind], 0)
+    place = _ragged((np.cumsum(n) - n)[kind], own)
+    row = np.repeat(np.arange(len(own)), own)
+    base, strand, code = (np.array([x[i] for x in listed], object)[place] for i in range(3))
+    nth, at = (np.array([x[i] for x in listed], np.int64)[place] for i in (3, 4))
+    prob = np.asarray(of["ml"].values.fill_null(-1).to_numpy(zero_copy_only=False))[ml_at[row] + at] if len(row) else np.zeros(0, np.int64)
+    # occurrences of each base in the texts of all reads
+    seq_at, seq_size = _offsets(of["seq"])
+    letters = np.frombuffer(of["seq"].buffers()[2] or b"", np.uint8)
+    back = np.asarray(of["reverse"].fill_null(False).to_numpy(zero_copy_only=False), bool)[row]
+    qpos = np.full(len(row), -1, np.int64)
+    for letter, other in ("AT", "CG", "GC", "TA"):
+        some = np.flatnonzero(np.where(back, base == other, base == letter))
+        places = np.flatnonzero(letters == ord(letter))
+        r = row[some]
+        first, last = np.searchsorted(places, seq_at[r]), np.searchsorted(places, seq_at[r] + seq_size[r])
+        which = np.where(back[some], last - 1 - nth[some], first + nth[some])
+        inside = (which >= first) & (which < last)
+        qpos[some[inside]] = places[which[inside]] - seq_at[r[inside]]
+    kept = qpos >= 0
+    out = {"row": row, "qpos": qpos, "mod": code, "prob": prob, "base": base, "strand": strand}
+    out = {k: v[kept] for k, v in out.items()}
+    out["rpos"] = _aligned(of["ops"], of["pos"], out["row"], out["qpos"])
+    return out
+
+
+def _aligned(ops: pa.Array, pos: pa.Array, row: np.ndarray, qpos: np.ndarray) -> np.ndarray:
+    """Reference places of query places of rows; -1 where an insertion or clip lies, or no op."""
+    at, size = _offsets(ops)
+    if not len(ops.values):
+        return np.full(len(row), -1, np.int64)
+    lens, kinds = (ops.values.field(i) for i in range(2))
+    lens, kinds = lens.to_numpy(zero_copy_only=False).astype(np.int64), kinds.to_numpy(zero_copy_only=False).astype(str)
+    query = np.append(0, np.cumsum(np.where(np.isin(kinds, cigar.QUERY_OPS), lens, 0)))
+    ref = np.append(0, np.cumsum(np.where(np.isin(kinds, cigar.REF_OPS), lens, 0)))
+    target = query[at[row]] + qpos
+    op = np.searchsorted(query[1:], target, "right")
+    inside = (op < at[row] + size[row]) & (op >= at[row])
+    op = np.where(inside, op, 0)
+    inside &= np.isin(kinds[op], cigar.BASE_OPS) & (target >= query[op])
+    starts = pos.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[row]
+    return np.where(inside, starts + ref[op] - ref[at[row]] + target - query[op], -1)
+
+
+_CALL = "qpos int, mod string, prob int, base string, strand string, rpos long"
+
+
+def _columns(found: dict[str, np.ndarray]) -> list[pa.Array]:
+    types = {"qpos": pa.int32(), "prob": pa.int32(), "rpos": pa.int64()}
+    made = [pa.array(found[c], types.get(c, pa.string())) for c in ("qpos", "mod", "prob", "base", "strand", "rpos")]
+    return [pa.array(found["rpos"], pa.int64(), mask=found["rpos"] < 0) if i == 5 else x for i, x in enumerate(made)]
+
+
+def _input(reads: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """The carried columns and what _found() reads; without a CIGAR no base is aligned."""
+    have = set(reads.columns)
+    ops = F.col("ops") if "ops" in have else F.array().cast(cigar.OPS)
+    pos = F.col("pos") if "pos" in have else F.lit(0)
+    return reads.select(
+        *carry,
+        F.col("seq").alias("_seq"),
+        F.col("ml").cast("array<int>").alias("_ml"),
+        scalars.has(F.col("flag"), scalars.REVERSE).alias("_reverse"),
+        F.col("mm").alias("_mm"),
+        ops.alias("_ops"),
+        pos.cast("long").alias("_pos"),
+    )
+
+
+def _own(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The columns of _found(), under its names."""
+    return pa.RecordBatch.from_arrays(batch.columns[-6:], ["seq", "ml", "reverse", "mm", "ops", "pos"])
+
+
+def placed_calls(reads: DataFrame, carry: tuple[str, ...] = ("read_id",)) -> DataFrame:
+    """(carried columns, qpos, mod, prob, base, strand, rpos): calls() with their place on the reference, null in insertions and clips.
+
+    All follows within the read's row, so nothing is shuffled.
+    """
+    n = len(carry)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = _found(_own(batch))
+            row = pa.array(some["row"])
+            yield pa.RecordBatch.from_arrays([*(c.take(row) for c in batch.columns[:n]), *_columns(some)], [*carry, *names])
+
+    names = [x.split()[0] for x in _CALL.split(", ")]
+    kept = reads.where("mm is not null").select(*carry).schema
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return _input(reads.where("mm is not null"), carry).mapInArrow(found, f"{types}, {_CALL}")
+
+
+def with_calls(reads: DataFrame, carry: tuple[str, ...] = ("read_id",)) -> DataFrame:
+    """(carried columns, calls, dotted): a row for each read, its calls as a list, and the bases that entries of `.` mode cover.
+
+    Reads without MM have no calls and no such bases.
+    """
+    n = len(carry)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = _own(batch)
+            some = _found(own)
+            ends = np.append(0, np.cumsum(np.bincount(some["row"], minlength=batch.num_rows)))
+            calls = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(_columns(some), names))
+            coded = own.column(3).dictionary_encode()
+            dotted = pa.array(["".join(sorted({e[0] for e in parse(mm) if e[3] == "."})) for mm in coded.dictionary.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], calls, dotted.take(coded.indices).fill_null("")], [*carry, "calls", "dotted"])
+
+    names = [x.split()[0] for x in _CALL.split(", ")]
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reads.select(*carry).schema)
+    listed = _CALL.replace(" ", ":").replace(",:", ",")
+    return _input(reads, carry).mapInArrow(found, f"{types}, calls array<struct<{listed}>>, dotted string")
+
+
 def calls(reads: DataFrame) -> DataFrame:
     """(read_id, qpos, mod, prob, base, strand) of reads(read_id, seq, flag, mm, ml).
 
@@ -53,34 +233,8 @@ def calls(reads: DataFrame) -> DataFrame:
     last such base have no call, and reads without MM have none; without deltas
     there need be no ml.
     """
-    reverse = scalars.has(F.col("flag"), scalars.REVERSE)
-    each = reads.where("mm is not null").select("read_id", "seq", "ml", reverse.alias("reverse"), entries(F.col("mm")).alias("es"))
-    size = lambda e: F.size(e["deltas"]) * F.size(e["codes"])
-    wanted = F.aggregate("es", F.lit(0), lambda a, e: a + size(e))
-    ml = F.when(wanted == F.coalesce(F.size("ml"), F.lit(0)), F.coalesce("ml", F.array().cast("array<int>"))).otherwise(F.raise_error(F.lit("MM and ML differ in length")).cast("array<int>"))
-    before = lambda i: F.aggregate(F.slice("es", F.lit(1), i), F.lit(0), lambda a, e: a + size(e))
-    listed = F.transform("es", lambda e, i: F.struct(e.alias("e"), before(i).alias("at")))
-    rows = each.withColumns({"ml": ml, "l": listed}).select("read_id", "seq", "ml", "reverse", F.explode("l").alias("x")).select("read_id", "seq", "ml", "reverse", "x.e", "x.at")
-    letter = F.when(F.col("reverse"), scalars.complement(F.col("e.base"))).otherwise(F.col("e.base"))
-    places = F.filter(F.sequence(F.lit(0), F.length("seq") - 1), lambda q: F.substring(F.col("seq"), q + 1, F.lit(1)) == F.col("letter"))
-    rows = rows.withColumn("letter", letter).where(F.length("seq") > 0).withColumn("places", places)
-    rows = rows.withColumn("places", F.when(F.col("reverse"), F.reverse("places")).otherwise(F.col("places")))
-    nth = F.transform("e.deltas", lambda d, i: F.aggregate(F.slice("e.deltas", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, x: a + x + 1) - 1)
-    nth = F.transform(nth, lambda n: F.least(n, F.lit(2**31 - 1)).cast("int"))
-    hits = F.flatten(
-        F.transform(
-            nth,
-            lambda n, i: F.transform(
-                F.col("e.codes"),
-                lambda c, j: F.struct(
-                    F.get("places", n).alias("qpos"), c.alias("mod"), F.get("ml", F.col("at") + i * F.size("e.codes") + j).alias("prob")
-                ),
-            ),
-        )
-    )
-    return rows.select("read_id", F.explode(hits).alias("h"), F.col("e.base").alias("base"), F.col("e.strand").alias("strand")).select(
-        "read_id", "h.qpos", "h.mod", "h.prob", "base", "strand"
-    ).where("qpos is not null")
+    own = reads.select("read_id", "seq", "flag", "mm", "ml")
+    return placed_calls(own).select("read_id", "qpos", "mod", "prob", "base", "strand")
 
 
 def at_reference(found: DataFrame, reads: DataFrame) -> DataFrame:
