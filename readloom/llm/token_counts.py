@@ -1,5 +1,10 @@
 """Token counts of whole texts, with overlap resynchronisation for huge documents.
 
+A text of up to a chunk is cut at all boundaries that are proven below.  The
+library encodes each different piece once and its count is held for later
+texts, so a text's count is the sum of its pieces' counts, as cutting at such
+a boundary changes no token.
+
 A text longer than a chunk is encoded in overlapping chunks with offsets.  Two
 neighbouring chunks are spliced at a boundary in their overlap that
 
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -29,7 +35,12 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 CHUNK, OVERLAP, LIMIT = 32_768, 256, 512
 _BATCH_CHARS = 1 << 20
+#: Characters of the pieces whose counts a worker holds; beyond that it forgets them all and begins anew.
+HELD_CHARS = 1 << 22
+#: Pieces that go to the library at once.
+_BATCH_PIECES = 1 << 15
 _loaded: dict[str, object] = {}
+_held: dict[str, _Held] = {}
 
 
 def load(tokenizer: str):
@@ -48,6 +59,8 @@ def load(tokenizer: str):
         pre = spec["pre_tokenizer"] or {}
         if pre.get("type") != "ByteLevel" or pre["add_prefix_space"] or not pre.get("use_regex", True) or spec["normalizer"]:
             raise ValueError(f"{tokenizer}: boundaries are proven stable for byte-level pre-tokenisers without prefix space and normaliser only")
+        if any(a["rstrip"] or a["lstrip"] or a["single_word"] or any(c.isspace() for c in a["content"]) for a in spec["added_tokens"]):
+            raise ValueError(f"{tokenizer}: an added token holds or looks at white space, where texts are cut")
         made.no_truncation()
         made.no_padding()
         _loaded[tokenizer] = made
@@ -59,6 +72,30 @@ def _stable(text: str, at: int) -> bool:
     return text[at] in " \n" and ("!" <= before <= "~" or before.isalnum())
 
 
+#: A piece up to the next _stable() boundary or the end; it may be empty at the end.
+_PIECE = re.compile(r"[ \n]*[^ \n]*(?:(?<![!-~\w])[ \n]+[^ \n]*)*")
+
+
+class _Held(dict[str, int]):
+    """Tokens of the pieces met so far."""
+
+    def __init__(self, coder):
+        self.coder, self.chars = coder, 0
+
+    def totals(self, texts: list[str]) -> list[int]:
+        """Tokens of each text."""
+        if self.chars > HELD_CHARS:
+            self.clear()
+            self.chars = 0
+        cut = [_PIECE.findall(t) for t in texts]
+        new = list(set().union(*cut).difference(self))
+        self.chars += sum(map(len, new))
+        for at in range(0, len(new), _BATCH_PIECES):
+            part = new[at : at + _BATCH_PIECES]
+            self.update(zip(part, map(len, self.coder.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        return [sum(map(self.__getitem__, pieces)) for pieces in cut]
+
+
 class _Chunk:
     """Tokens of text[start:end] with absolute start offsets."""
 
@@ -106,14 +143,14 @@ def count_huge(encode, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) ->
 def counted(column: pa.Array, tokenizer: str, chunk: int, overlap: int) -> tuple[list[int], list[int], list[int]]:
     """Tokens, chunks and widenings of each text."""
     coder, texts = load(tokenizer), column.to_pylist()
+    held = _held.setdefault(tokenizer, _Held(coder))
     tokens, chunks, widened = [0] * len(texts), [1] * len(texts), [0] * len(texts)
     group: list[int] = []
     size = 0
 
     def flush() -> None:
-        made = coder.encode_batch_fast([texts[i] for i in group], add_special_tokens=False)
-        for i, e in zip(group, made, strict=True):
-            tokens[i] = len(e)
+        for i, n in zip(group, held.totals([texts[i] for i in group]), strict=True):
+            tokens[i] = n
         group.clear()
 
     for i, text in enumerate(texts):

@@ -1,3 +1,8 @@
+import json
+from itertools import accumulate
+from unittest import mock
+
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -52,3 +57,48 @@ def test_counts_beside_the_rows(spark):
 def test_other_tokenizers_are_rejected():
     with pytest.raises(ValueError, match="byte-level"):
         tc.load("word_bpe_49k.json")
+
+
+class Watched:
+    """A tokenizer that counts the characters it encodes."""
+
+    def __init__(self, coder):
+        self.coder, self.encode, self.chars = coder, coder.encode, 0
+
+    def encode_batch_fast(self, texts, add_special_tokens):
+        self.chars += sum(map(len, texts))
+        return self.coder.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+
+def test_a_piece_is_encoded_once(coder, monkeypatch):
+    watched = Watched(coder)
+    monkeypatch.setitem(tc._loaded, "watched", watched)
+    texts = ["some words that come again, again and <|endoftext|> again\n" * 40 + str(i) for i in range(50)]
+    want = [len(e) for e in coder.encode_batch_fast(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert tc.counted(pa.array(texts, pa.large_string()), "watched", tc.CHUNK, tc.OVERLAP)[0] == want
+    assert watched.chars < len(texts[0])
+
+
+@given(st.lists(st.lists(st.sampled_from([*PIECES, "\r", "\xa0", " ", "᠎", "\x85", "_", "🙂", "é", "<|endof", "text|>"]), max_size=40), max_size=8))
+@settings(max_examples=150, deadline=None)
+def test_pieces_end_at_proven_boundaries_and_their_counts_add_up(coder, lists):
+    texts = ["".join(x) for x in lists]
+    for text in texts:
+        pieces = tc._PIECE.findall(text)
+        assert "".join(pieces) == text
+        starts = list(accumulate(map(len, pieces)))
+        assert [a for a in starts if a < len(text)] == [a for a in range(1, len(text)) if tc._stable(text, a)]
+    held = tc._Held(coder)
+    with mock.patch.object(tc, "HELD_CHARS", 20), mock.patch.object(tc, "_BATCH_PIECES", 3):
+        for text in texts:
+            assert held.totals([text]) == [len(coder.encode(text, add_special_tokens=False))]
+
+
+def test_added_tokens_that_look_at_white_space_are_rejected(coder, tmp_path):
+    spec = json.loads(coder.to_str())
+    spec["added_tokens"][0]["rstrip"] = True
+    path = tmp_path / "strip.json"
+    path.write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="white space"):
+        tc.load(str(path))
