@@ -37,6 +37,8 @@ CHUNK, OVERLAP, LIMIT = 32_768, 256, 512
 _BATCH_CHARS = 1 << 20
 #: Characters of the pieces whose counts a worker holds; beyond that it forgets them all and begins anew.
 HELD_CHARS = 1 << 22
+#: Characters of held pieces from which on texts that are new for more than half are encoded whole: that is cheaper.
+COLD_CHARS = 1 << 18
 #: Pieces that go to the library at once.
 _BATCH_PIECES = 1 << 15
 _loaded: dict[str, object] = {}
@@ -89,7 +91,10 @@ class _Held(dict[str, int]):
             self.chars = 0
         cut = [_PIECE.findall(t) for t in texts]
         new = list(set().union(*cut).difference(self))
-        self.chars += sum(map(len, new))
+        fresh = sum(map(len, new))
+        if self.chars > COLD_CHARS and 2 * fresh > sum(map(len, texts)):
+            return [len(e) for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+        self.chars += fresh
         for at in range(0, len(new), _BATCH_PIECES):
             part = new[at : at + _BATCH_PIECES]
             self.update(zip(part, map(len, self.coder.encode_batch_fast(part, add_special_tokens=False)), strict=True))

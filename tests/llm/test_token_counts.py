@@ -80,6 +80,15 @@ def test_a_piece_is_encoded_once(coder, monkeypatch):
     assert watched.chars < len(texts[0])
 
 
+def test_texts_of_new_words_are_encoded_whole(coder, monkeypatch):
+    monkeypatch.setattr(tc, "COLD_CHARS", 100)
+    held = tc._Held(coder)
+    for k in range(4):
+        texts = [" ".join(f"{k}x{i}y{j}" for j in range(50)) for i in range(5)]
+        assert held.totals(texts) == [len(coder.encode(t, add_special_tokens=False)) for t in texts]
+    assert held.chars < 3000
+
+
 @given(st.lists(st.lists(st.sampled_from([*PIECES, "\r", "\xa0", " ", "᠎", "\x85", "_", "🙂", "é", "<|endof", "text|>"]), max_size=40), max_size=8))
 @settings(max_examples=150, deadline=None)
 def test_pieces_end_at_proven_boundaries_and_their_counts_add_up(coder, lists):
@@ -90,7 +99,7 @@ def test_pieces_end_at_proven_boundaries_and_their_counts_add_up(coder, lists):
         starts = list(accumulate(map(len, pieces)))
         assert [a for a in starts if a < len(text)] == [a for a in range(1, len(text)) if tc._stable(text, a)]
     held = tc._Held(coder)
-    with mock.patch.object(tc, "HELD_CHARS", 20), mock.patch.object(tc, "_BATCH_PIECES", 3):
+    with mock.patch.object(tc, "HELD_CHARS", 20), mock.patch.object(tc, "_BATCH_PIECES", 3), mock.patch.object(tc, "COLD_CHARS", 10):
         for text in texts:
             assert held.totals([text]) == [len(coder.encode(text, add_special_tokens=False))]
 
