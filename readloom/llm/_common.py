@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,7 +154,8 @@ def labelled_texts(
 ) -> Iterator[tuple[str, int]]:
     """Whole texts with labels for fitting: a sample of at most rows documents and max_bytes bytes.
 
-    The id list is broadcast and has at most rows entries.  Sizes are read
+    The id list is broadcast and has at most rows entries; it reaches Spark as
+    an Arrow table, for which no executor starts Python workers.  Sizes are read
     first, so that only the texts that within() chooses reach the driver, which
     orders them by id.  A repeated doc_id counts once, with its longest size.
     """
@@ -164,7 +166,8 @@ def labelled_texts(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def of(pairs: list[tuple[int, int]], value: Column) -> DataFrame:
-        chosen = F.broadcast(spark.createDataFrame(pairs, "doc_id long, label int"))
+        columns = [pa.array(x, kind) for x, kind in zip(zip(*pairs, strict=True), (pa.int64(), pa.int32()), strict=True)]
+        chosen = F.broadcast(spark.createDataFrame(pa.table(columns, ["doc_id", "label"])))
         return texts.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.max(value).alias("value"))
 
     size = {r.doc_id: r.value for r in of(ids, F.octet_length("text")).collect()}

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.llm import _text as T
 from readloom.llm import subword
 from readloom.llm._common import fold, labelled_texts
 
@@ -50,8 +51,10 @@ def scored(
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = subword.score(shared.value, batch.column("text"))
-            yield batch.filter(pa.array((p >= threshold) == bool(keep)))
+            for lo, hi in T.slices(batch.column("text")):  # whole texts go back to Spark, so in small batches
+                part = batch.slice(lo, hi - lo)
+                p = subword.score(shared.value, part.column("text"))
+                yield part.filter(pa.array((p >= threshold) == bool(keep)))
 
     if keep is not None:
         return docs.mapInArrow(choose, docs.schema)

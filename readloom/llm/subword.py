@@ -23,6 +23,8 @@ import pyarrow as pa
 from readloom.llm import _text as T
 
 SIZES = (3, 4, 5)
+#: Characters of labelled texts that are cut into words at a time; types are numbered in that order.
+GROUP = 1 << 20
 _MUL = np.uint32(0x01000193)
 _FIB = np.uint32(0x9E3779B1)
 _CODE = np.random.default_rng(40961).integers(1, 2**32, 256, dtype=np.uint32) | np.uint32(1)
@@ -170,7 +172,7 @@ class _Corpus:
         rows, labels = [], []
         kinds: dict[int, int] = {0: 0}
         spelled: list[bytes] = [b""]
-        for group in _groups(texts, T.SLICE_BYTES):
+        for group in _groups(texts, GROUP):
             labels += [y for _, y in group]
             w = T.text_words([x for x, _ in group], s.kind, s.lower)
             again = _repeats(w)
